@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from sonarmill.llm.near_dup import op10_near_dup
+from sonarmill.llm.quality import op7_quality
+from sonarmill.llm.repeats import op3_repeats
+from sonarmill.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op3_repeats": op3_repeats,
+    "op5_warc": op5_warc,
+    "op7_quality": op7_quality,
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
