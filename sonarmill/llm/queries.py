@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from sonarmill.llm.language import op2_language
 from sonarmill.llm.near_dup import op10_near_dup
 from sonarmill.llm.quality import op7_quality
 from sonarmill.llm.repeats import op3_repeats
+from sonarmill.llm.toxicity import op4_toxicity
 from sonarmill.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_repeats": op3_repeats,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
     "op10_near_dup": op10_near_dup,
