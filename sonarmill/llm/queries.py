@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sonarmill.llm.decontaminate import op8_decontaminate
 from sonarmill.llm.language import op2_language
 from sonarmill.llm.near_dup import op10_near_dup
 from sonarmill.llm.quality import op7_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op10_near_dup": op10_near_dup,
 }
 
