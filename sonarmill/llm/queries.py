@@ -5,6 +5,7 @@ from __future__ import annotations
 from sonarmill.llm.decontaminate import op8_decontaminate
 from sonarmill.llm.language import op2_language
 from sonarmill.llm.near_dup import op10_near_dup
+from sonarmill.llm.pii import op9_pii
 from sonarmill.llm.quality import op7_quality
 from sonarmill.llm.repeats import op3_repeats
 from sonarmill.llm.toxicity import op4_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii": op9_pii,
     "op10_near_dup": op10_near_dup,
 }
 
