@@ -5,18 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sonarmill.llm.near_dup import near_duplicates
+from sonarmill.llm import decontaminate, mixing, near_dup, pii, toxicity
 from sonarmill.session import cut
 
+#: Near-duplicates in the pipeline: 5-word shingles, 80 percent.
+NEAR_PERCENT = 80
+
+
+def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``verdict`` go; rows without an id stay."""
+    return docs.join(cut(verdict.select("doc_id").distinct(), "verdict"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD))
+
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = near_duplicates(docs, 80).where("not kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, near_dup.near_duplicates(docs, NEAR_PERCENT).where("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kind in brackets; n_chars is that of the new text where it changed."""
+    redacted = pii.redact(docs.withColumn("__text_before", F.xxhash64("text")), pii.learn(docs))
+    changed = ~F.col("__text_before").eqNullSafe(F.xxhash64("text"))
+    return redacted.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)[0]
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("near_dup", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("mixing", mix_to_targets),
 ]
 
 #: The stages learn models and cluster; SQL can't state them. tests/llm holds them to brute force.
