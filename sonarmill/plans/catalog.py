@@ -6,12 +6,13 @@ MD5, an embedding is a frame of PCM, ``events`` are packets of one stream a user
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonarmill.functions import analysis, lpc, packet, signal
+from sonarmill.functions import analysis, entropy, lpc, packet, signal
 from sonarmill.functions.framing import parsed
 from sonarmill.operators import streams
 from sonarmill.sources import container
@@ -431,6 +432,33 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.join(same, ["conv_id", "seq"], "left").select("conv_id", "seq", F.length("data").alias("size"), (F.col("data") == F.col("got")).alias("same"), "end_pos_48k")
 
 
+def _recode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each byte as two uniform numbers, a Laplace number and a bit: coded, decoded, compared."""
+    for frame in frames:
+        rows = []
+        for doc_id, data in zip(frame["doc_id"], frame["data"], strict=True):
+            enc = entropy.Encoder(96)
+            sent = [entropy.encode_laplace(enc, b - 128 >> 4, 9000, 8000) for b in data]
+            for b in data:
+                enc.uniform(b, 256)
+                enc.bit(bool(b & 1), 1 + (b >> 5))
+            coded = enc.finish()
+            dec = entropy.Decoder(coded)
+            same = sent == [entropy.decode_laplace(dec, 9000, 8000) for _ in data]
+            for b in data:
+                same &= dec.uniform(256) == b
+                same &= dec.bit(1 + (b >> 5)) == bool(b & 1)
+            rows.append((doc_id, enc.range, dec.range, enc.tell(), same))
+        yield pd.DataFrame(rows, columns=["doc_id", "range_in", "range_out", "bits", "same"])
+
+
+@query("select doc_id, true as same, true as in_step from documents")
+def range_coder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy coding of each payload: symbols come back and both final ranges agree."""
+    done = _payloads(spark, sf_dir).mapInPandas(_recode, "doc_id long, range_in long, range_out long, bits int, same boolean")
+    return done.select("doc_id", "same", (F.col("range_in") == F.col("range_out")).alias("in_step"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_mode_counts(spark, sf_dir)
 
