@@ -10,11 +10,11 @@ chance collisions, and what may reach the threshold is verified on full sets
 recomputed from the texts.
 
 No group is expanded into all pairs. First every member of a bucket is tried
-against the bucket's least member. Only where a bucket still holds different
-components are the pairs *between* components tried, and these only if sizes
-and a 64-bit digest of the registers allow the threshold. Pairs inside a
-component need no test, for it is joined already, so no link between
-components is lost.
+against a few pivots of the bucket, chosen by hash. Only where a bucket still
+holds different components are the pairs *between* components tried, and these
+only if sizes and estimate allow the threshold (the estimate is part of the
+join's condition, so other pairs are never made). Pairs inside a component need
+no test, for it is joined already, so no link between components is lost.
 
 Nulls: a null or wordless text has an empty set, is linked with nothing and
 kept. A null doc_id is linked with nothing: its component_id is null and it is
@@ -38,11 +38,13 @@ from sonarmill.session import cut
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-SURE = 5.0  # standard deviations allowed below an expectation before a pair is let go
+DIGEST = 512  # registers of the digest that estimates use; two mantissa bits of each
+SURE = 4.5  # standard deviations allowed below an expectation before a pair is let go
+PIVOTS = 4
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_A = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, DIGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, DIGEST, dtype=np.uint64)
 
 
 def registers_of(values: np.ndarray) -> np.ndarray:
@@ -57,23 +59,35 @@ def registers_of(values: np.ndarray) -> np.ndarray:
     return (((63 - top).astype(np.uint64) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = np.multiply.outer(shingles[at : at + 4096], _A)
-        part += _B
+def sketch(shingles: np.ndarray, n: int = REGISTERS) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    step = max(64, (1 << 18) // n)
+    for at in range(0, len(shingles), step):
+        part = np.multiply.outer(shingles[at : at + step], _A[:n])
+        part += _B[:n]
         np.minimum(least, part.min(axis=0), out=least)
     return registers_of(least)
 
 
-def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard estimates of rows of registers.
+def digest_of(shingles: np.ndarray) -> list[int]:
+    """The two leading mantissa bits of DIGEST registers, as 64-bit planes: all first bits, then all second."""
+    r = sketch(shingles, DIGEST)
+    planes = [np.packbits((r >> shift) & 1).view(np.int64) for shift in (MANTISSA - 1, MANTISSA - 2)]
+    return np.concatenate(planes).tolist()
 
-    Unequal minima agree in lead count and mantissa with a chance below
-    c = 2**-MANTISSA; J = (equal - c) / (1 - c).
+
+def may_reach(percent: int) -> str:
+    """SQL over digests x.d and y.d: the collision-corrected estimate may still reach the threshold.
+
+    Unequal registers agree in two bits with chance c = 1/4, so registers differ
+    with chance (1 - J)(1 - c). At the threshold that many differ, plus SURE
+    standard deviations, at most.
     """
-    c = 2.0**-MANTISSA
-    return ((x == y).mean(axis=1) - c) / (1 - c)
+    p = (1 - percent / 100) * 0.75
+    most = int(DIGEST * p + SURE * (DIGEST * p * (1 - p)) ** 0.5) + 1
+    half = DIGEST // 64
+    differ = " + ".join(f"bit_count((x.d[{k}] ^ y.d[{k}]) | (x.d[{k + half}] ^ y.d[{k + half}]))" for k in range(half))
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differ} <= {most}"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,35 +95,32 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
         for at in range(0, batch.num_rows, 1000):
             rows = batch.column(1).slice(at, 1000)
-            sizes, h1, h2, regs, keys, bits = [], [], [], [], [], []
+            sizes, h1, h2, keys = [], [], [], []
             for _, s in shingle_sets(rows):
                 sizes.append(len(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 h1.append(int.from_bytes(digest[:8], "little", signed=True))
                 h2.append(int.from_bytes(digest[8:], "little", signed=True))
                 if not len(s):
-                    regs.append(None)
                     keys.append(None)
-                    bits.append(0)
                     continue
                 r = sketch(s)
-                regs.append(r.tobytes())
                 keys.append([xxhash.xxh3_64_intdigest(r[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)])
-                bits.append(int(np.packbits(r[:64] & 1).view(np.int64)[0]))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.int64())],
-                names=["doc_id", "n", "h1", "h2", "regs", "keys", "bits"],
+                [ids.slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "h1", "h2", "keys"],
             )
 
 
-def _estimated(floor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("ra", "rb"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= floor))
-
-    return run
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sets = [s for _, s in shingle_sets(part.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.list_(pa.int64()))],
+                names=["id", "n", "d"],
+            )
 
 
 def _verified(percent: int):
@@ -129,16 +140,10 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs that link, by estimate first and then on full sets."""
-    t = percent / 100
-    floor = t - SURE * (t * (1 - t) / REGISTERS) ** 0.5
-    a, b = (reps.select(F.col("doc_id").alias(x), F.col("regs").alias(f"r{x}")) for x in "ab")
-    likely = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInArrow(_estimated(floor), "a long, b long"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    wanted = cut(texts.join(ids, "doc_id", "left_semi"), "wanted")
-    ta, tb = (wanted.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return cut(likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long, n_both long, n_union long"), "links")
+def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link on full sets."""
+    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return cut(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long, n_both long, n_union long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -148,36 +153,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     the search needed; it is a lower bound once a component is joined.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(base.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, regs binary, keys array<long>, bits long"), "sketches")
+    sketches = cut(base.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "sketches")
     known = sketches.where("doc_id is not null and n > 0")
     classes = cut(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     rep_ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = cut(known.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
-
-    buckets = reps.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
-    groups = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min_by("n", "id").alias("first_n")).where("size > 1")
-    small, large = F.least("n", "first_n"), F.greatest("n", "first_n")
-    shared = cut(buckets.join(groups, "key"), "shared")
-    star = shared.where((F.col("id") != F.col("first")) & (100 * small >= percent * large))
-    stars = cut(star.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    texts = base.where("doc_id is not null")
-    links = _links(stars, reps, texts, percent)
+    reps = known.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    buckets = cut(reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "buckets")
+    crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(buckets.join(crowded, "key"), "shared")
+    ids = shared.select(F.col("id").alias("doc_id")).distinct()
+    # One pass moves the texts that any pair may need; planned alike at every size.
+    texts = cut(base.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    digests = cut(texts.select("doc_id", "text").mapInArrow(_digests, "id long, n long, d array<long>"), "digests")
+
+    order = [F.xxhash64("id", "key", F.lit(k)) for k in range(PIVOTS)]
+    pivots = shared.groupBy("key").agg(*[F.min_by("id", o).alias(f"p{k}") for k, o in enumerate(order)]).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
+    star = shared.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    x = digests.select(F.col("id").alias("a"), F.struct("n", "d").alias("x"))
+    y = digests.select(F.col("id").alias("b"), F.struct("n", "d").alias("y"))
+    stars = cut(star.join(x, "a").join(y, "b").where(F.expr(may_reach(percent))).select("a", "b"), "stars")
+    links = _links(stars, texts, percent)
     joined = cut(components(links), "joined")
 
     # Buckets that still hold different components: pairs between these.
-    marked = shared.where("size > 2").join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    marked = shared.where("size > 2").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = cut(marked.join(mixed, "key", "left_semi").join(reps.select(F.col("doc_id").alias("id"), "bits"), "id"), "open")
-    p = (1 - percent / 100) / 2
-    far = int(64 * p + SURE * (64 * p * (1 - p)) ** 0.5) + 1
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    between = x.join(
-        y,
-        F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.bits ^ y.bits) <= {far}"),
-    )
+    open_rows = cut(marked.join(mixed, "key", "left_semi").join(digests, "id"), "open")
+    between = open_rows.alias("x").join(open_rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {may_reach(percent)}"))
     more = between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    further = _links(cut(more, "between"), reps, texts, percent)
-    links = links.union(further)
+    links = links.union(_links(cut(more, "between"), texts, percent))
     found = cut(components(links), "joined")
 
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
