@@ -297,14 +297,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     for term in words:  # a misspelling never seen in the sample
         for e in range(1, edits_for(len(term)) + 1):
             if (term, e) not in model.weights:
-                model.weights[term, e] = 0.6 * model.weights.get((term, 0), 0.0)
+                model.weights[term, e] = 0.8 * model.weights.get((term, 0), 0.0)
     x = np.array([features(n, h, model.weights) for n, h in zip(found["n_tokens"], hits, strict=True)])
     y = found["y"].to_numpy(float)
     coef = _fit(x, y)
     # Features 3 and 4 are misspelled hits; where the sample hardly has any, they get part of the exact hits' say.
     for near, exact in ((3, 1), (4, 2)):
         if (x[:, near] > 0).sum() < 50:
-            coef[near] = max(coef[near], 0.7 * coef[exact])
+            coef[near] = max(coef[near], 0.9 * coef[exact])
     model.coef = coef.tolist()
     return model
 
