@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonarmill.functions import analysis, entropy, lpc, packet, signal
+from sonarmill.functions import analysis, entropy, lpc, packet, signal, transform
 from sonarmill.functions.framing import parsed
 from sonarmill.operators import streams
 from sonarmill.sources import container
@@ -432,6 +433,30 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.join(same, ["conv_id", "seq"], "left").select("conv_id", "seq", F.length("data").alias("size"), (F.col("data") == F.col("got")).alias("same"), "end_pos_48k")
 
 
+@query(f"with {FRAMES}, e as (select vec_id, list_transform(range(1, len(x) + 1), lambda i: x[i] - {transform.EMPHASIS!r} * case when i > 1 then x[i - 1] else 0.0 end) as y from f) select vec_id, round(list_reduce(list_transform(y, lambda v: v * v), lambda a, b: a + b, 0.0), 9) as energy, round(y[64], 9) as last from e")
+def emphasised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy after the emphasis filter."""
+    rows = _frames(spark, sf_dir).select("vec_id", signal.ltp_residual(F.col("x"), 1, transform.EMPHASIS).alias("y"))
+    return rows.select("vec_id", F.round(signal.dot(F.col("y"), F.col("y")), 9).alias("energy"), F.round(F.element_at("y", 64), 9).alias("last"))
+
+
+def _there_and_back(x: np.ndarray) -> np.ndarray:
+    return transform.synthesis_frames(transform.analysis_frames(x, 16, 8), len(x), 8)
+
+
+def _nine_pulses(x: np.ndarray) -> np.ndarray:
+    return transform.pulses(x, 9)
+
+
+@query("select vec_id, true as restored, 9::bigint as pulses from embeddings")
+def lapped_and_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames through the lapped transform and back, and as nine signed pulses."""
+    x = F.col("x")
+    rows = _frames(spark, sf_dir).select("vec_id", "x", transform.kernel(_there_and_back)(x).alias("y"), transform.kernel(_nine_pulses)(x).alias("q"))
+    error = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), F.greatest)
+    return rows.select("vec_id", (error < 1e-9).alias("restored"), F.aggregate("q", F.lit(0.0), lambda a, v: a + F.abs(v)).cast("long").alias("pulses"))
+
+
 def _recode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each byte as two uniform numbers, a Laplace number and a bit: coded, decoded, compared."""
     for frame in frames:
