@@ -453,7 +453,7 @@ def lapped_and_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames through the lapped transform and back, and as nine signed pulses."""
     x = F.col("x")
     rows = _frames(spark, sf_dir).select("vec_id", "x", transform.kernel(_there_and_back)(x).alias("y"), transform.kernel(_nine_pulses)(x).alias("q"))
-    error = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), F.greatest)
+    error = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
     return rows.select("vec_id", (error < 1e-9).alias("restored"), F.aggregate("q", F.lit(0.0), lambda a, v: a + F.abs(v)).cast("long").alias("pulses"))
 
 
