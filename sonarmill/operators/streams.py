@@ -6,11 +6,13 @@ Those that a window can state are windows; the order-recursive ones are folds
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarmill.functions.speech import VoiceActivity, concealed
 from sonarmill.streaming.fold import Fold, fold_batch
 
 #: Milliseconds of inactivity before suppression, and the longest suppressed run.
@@ -126,6 +128,38 @@ class Suppression(Fold):
         return [{"seq": row["seq"], "suppressed": not sent}]
 
 
+@dataclass
+class Voice(Fold):
+    """Voice activity of frames (seq, pcm) of one stream."""
+
+    detector: VoiceActivity = field(default_factory=VoiceActivity)
+
+    def step(self, row: dict) -> list[dict]:
+        got = self.detector.frame(np.asarray(row["pcm"], float))
+        return [{"seq": row["seq"], "activity": got["activity"], "tilt": got["tilt"], "snr_db": got["snr_db"]}]
+
+
+@dataclass
+class LossFilling(Fold):
+    """Frames (seq, pcm) of one stream with pcm null where a packet was lost; these are filled from what came before."""
+
+    past: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    lost: int = 0
+    size: int = 0
+
+    def step(self, row: dict) -> list[dict]:
+        pcm = row["pcm"]
+        filled = pcm is None
+        if filled:
+            pcm = concealed(self.past, self.size, self.lost, lo=min(32, max(2, self.size // 4)))
+            self.lost += 1
+        else:
+            pcm, self.lost = np.asarray(pcm, float), 0
+            self.size = len(pcm)
+        self.past = np.concatenate([self.past, pcm])[-1152:]
+        return [{"seq": row["seq"], "pcm": pcm.tolist(), "filled": filled}]
+
+
 def _keyed(df: DataFrame, keys: list[str], rest: str) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + rest
 
@@ -138,3 +172,13 @@ def activity(df: DataFrame, keys: list[str]) -> DataFrame:
 def smoothed_music(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, seq, smooth) from (keys, seq, energy, music)."""
     return fold_batch(df.select(*keys, "seq", "energy", "music"), keys, ["seq"], Smoothing, _keyed(df, keys, "seq long, smooth double"))
+
+
+def voice_activity(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, activity, tilt, snr_db) from (keys, seq, pcm)."""
+    return fold_batch(df.select(*keys, "seq", "pcm"), keys, ["seq"], Voice, _keyed(df, keys, "seq long, activity double, tilt double, snr_db array<double>"))
+
+
+def filled(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, pcm, filled) from (keys, seq, pcm) with nulls for lost frames."""
+    return fold_batch(df.select(*keys, "seq", "pcm"), keys, ["seq"], LossFilling, _keyed(df, keys, "seq long, pcm array<double>, filled boolean"))

@@ -457,6 +457,22 @@ def lapped_and_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (error < 1e-9).alias("restored"), F.aggregate("q", F.lit(0.0), lambda a, v: a + F.abs(v)).cast("long").alias("pulses"))
 
 
+@query()
+def voice_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voice activity of each label's frames in order, summed up."""
+    rows = _frames(spark, sf_dir).select("label", F.col("vec_id").alias("seq"), F.col("x").alias("pcm"))
+    found = streams.voice_activity(rows, ["label"])
+    return found.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("activity"), 6).alias("activity"), F.round(F.avg("tilt"), 6).alias("tilt"))
+
+
+@query("select label, vec_id as seq, vec_id % 10 = 7 as filled, case when sum((vec_id % 10 <> 7)::int) over (partition by label order by vec_id) > 0 then 64 else 0 end::bigint as n from embeddings where label is not null")
+def loss_concealment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth frame lost and filled from the frames before it."""
+    rows = _frames(spark, sf_dir).where("label is not null").select("label", F.col("vec_id").alias("seq"), F.when(~streams.simulated_loss(F.col("vec_id")), F.col("x")).alias("pcm"))
+    got = streams.filled(rows, ["label"])
+    return got.select("label", "seq", "filled", F.size("pcm").cast("long").alias("n"))
+
+
 def _recode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each byte as two uniform numbers, a Laplace number and a bit: coded, decoded, compared."""
     for frame in frames:
