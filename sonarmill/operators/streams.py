@@ -17,6 +17,7 @@ from sonarmill.streaming.fold import Fold, fold_batch
 
 #: Milliseconds of inactivity before suppression, and the longest suppressed run.
 BEFORE_SUPPRESSION_MS, MAX_SUPPRESSED_MS = 200, 400
+MAX_CODES = 4096
 ACTIVE_RATIO, FLOOR_LEAK, SILENCE = 8.0, 1.0003, 1e-7
 
 
@@ -75,9 +76,11 @@ def simulated_loss(seq: Column, every: int = 10, place: int = 7) -> Column:
 def nearest_code(rows: DataFrame, key: str, vector: str, codebook: DataFrame, code: str, code_vector: str) -> DataFrame:
     """Adds each row's nearest code by squared distance (ties: the least code).
 
-    The codebook must be small: it is turned into one array that every row is
-    compared with, so no row is multiplied.
+    The codebook must have at most ``MAX_CODES`` rows, which is checked: it becomes one
+    array that every row is compared with, so no row is multiplied.
     """
+    if codebook.limit(MAX_CODES + 1).count() > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} codes")
     book = codebook.agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("code"), F.col(code_vector).cast("array<double>").alias("v")))).alias("_book"))
     distance = lambda v: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
     best = F.array_min(F.transform("_book", lambda c: F.struct(distance(c["v"]).alias("d"), c["code"].alias("code"))))
