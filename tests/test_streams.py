@@ -62,3 +62,27 @@ def test_islands_equal_sessions(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     a = streams.spurts(events.withColumn("t", F.col("ts").cast("timestamp")), ["user_id"], "t").count()
     assert a == streams.spurts_by_window(events, ["user_id"], "ts", 1800).count()
+
+
+def test_lost_frames_are_filled_from_the_past():
+    import math
+
+    fold = streams.LossFilling()
+    tone = [[math.sin(2 * math.pi * (64 * k + n) / 32) for n in range(64)] for k in range(20)]
+    out = [fold.step({"seq": k, "pcm": None if k in (0, 12) else x})[0] for k, x in enumerate(tone)]
+    assert out[0]["pcm"] == [] and out[0]["filled"]
+    assert out[5]["pcm"] == tone[5] and not out[5]["filled"]
+    error = sum((a - b) ** 2 for a, b in zip(out[12]["pcm"], tone[12], strict=True)) / sum(a * a for a in tone[12])
+    assert error < 0.1
+
+
+def test_codebook_ties_and_bound(spark, monkeypatch):
+    import pytest
+
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "id int, x array<double>")
+    book = spark.createDataFrame([(7, [0.5, 0.5]), (3, [0.5, 0.5]), (9, [5.0, 5.0])], "code int, v array<double>")
+    got = {r["id"]: r["code"] for r in streams.nearest_code(rows, "id", "x", book, "code", "v").collect()}
+    assert got == {1: 3, 2: 3}
+    monkeypatch.setattr(streams, "MAX_CODES", 2)
+    with pytest.raises(ValueError):
+        streams.nearest_code(rows, "id", "x", book, "code", "v")
