@@ -38,9 +38,9 @@ from sonarmill.session import cut
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-DIGEST = 512  # registers of the digest that estimates use; two mantissa bits of each
+DIGEST = 1024  # registers of the digest that estimates use; two mantissa bits of each
 SURE = 4.5  # standard deviations allowed below an expectation before a pair is let go
-PIVOTS = 4
+PIVOTS = 3
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 1 << 63, DIGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,10 +169,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     order = [F.xxhash64("id", "key", F.lit(k)) for k in range(PIVOTS)]
     pivots = shared.groupBy("key").agg(*[F.min_by("id", o).alias(f"p{k}") for k, o in enumerate(order)]).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
-    star = shared.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    x = digests.select(F.col("id").alias("a"), F.struct("n", "d").alias("x"))
-    y = digests.select(F.col("id").alias("b"), F.struct("n", "d").alias("y"))
-    stars = cut(star.join(x, "a").join(y, "b").where(F.expr(may_reach(percent))).select("a", "b"), "stars")
+    star = shared.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("low"), F.greatest("id", "pivot").alias("high")).distinct()
+    x = digests.select(F.col("id").alias("low"), F.struct("n", "d").alias("x"))
+    y = digests.select(F.col("id").alias("high"), F.struct("n", "d").alias("y"))
+    near = star.join(x, "low").alias("s").join(y.alias("t"), F.expr(f"s.high = t.high and {may_reach(percent)}"))
+    stars = cut(near.select(F.col("low").alias("a"), F.col("s.high").alias("b")), "stars")
     links = _links(stars, texts, percent)
     joined = cut(components(links), "joined")
 
@@ -203,4 +204,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op10_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("n_links")
+
+
+OP10_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+n as (select doc_id, len(s) as n from s),
+e as (select doc_id, unnest(list_transform(s, lambda x: hash(x))) as x from s),
+both_in as (select p.doc_id as a, q.doc_id as b, count(*) as k from e p join e q on p.x = q.x and p.doc_id < q.doc_id group by all),
+one_way as (select a, b from both_in join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+links as (select a, b from one_way union all select b, a from one_way),
+r(id, c) as (select doc_id, doc_id from documents union select links.b, r.c from r join links on links.a = r.id)
+select n.doc_id, n.n::bigint as n_shingles, min(r.c) as component_id, min(r.c) = n.doc_id as kept from n join r on r.id = n.doc_id group by n.doc_id, n.n
+"""
