@@ -6,7 +6,7 @@ from sonarmill.llm.decontaminate import op8_decontaminate
 from sonarmill.llm.html_text import op1_main_text
 from sonarmill.llm.language import op2_language
 from sonarmill.llm.mixing import op6_mixing
-from sonarmill.llm.near_dup import op10_near_dup
+from sonarmill.llm.near_dup import OP10_SQL, op10_near_dup
 from sonarmill.llm.pii import op9_pii
 from sonarmill.llm.quality import op7_quality
 from sonarmill.llm.repeats import op3_repeats
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_near_dup": OP10_SQL}
