@@ -69,13 +69,21 @@ def sketch(shingles: np.ndarray, n: int = REGISTERS) -> np.ndarray:
     return registers_of(least)
 
 
-def digest_of(shingles: np.ndarray) -> list[int]:
+def band_keys(registers: np.ndarray) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(registers[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+
+
+def digest_of(registers: np.ndarray) -> list[int]:
     """The two leading mantissa bits of DIGEST registers, as 64-bit planes: all first bits, then all second."""
-    r = sketch(shingles, DIGEST)
-    planes = [np.packbits((r >> shift) & 1).view(np.int64) for shift in (MANTISSA - 1, MANTISSA - 2)]
+    planes = [np.packbits((registers >> shift) & 1).view(np.int64) for shift in (MANTISSA - 1, MANTISSA - 2)]
     return np.concatenate(planes).tolist()
 
 
+def first_common() -> str:
+    """SQL over rows x and y of a bucket (band, keys): it is the first bucket that they share, so a pair is made once."""
+    return " and ".join(f"(x.band <= {k} or x.keys[{k}] <> y.keys[{k}])" for k in range(BANDS - 1))
+
+
 def may_reach(percent: int) -> str:
     """SQL over digests x.d and y.d: the collision-corrected estimate may still reach the threshold.
 
@@ -104,8 +112,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(s):
                     keys.append(None)
                     continue
-                r = sketch(s)
-                keys.append([xxhash.xxh3_64_intdigest(r[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)])
+                keys.append(band_keys(sketch(s)))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "h1", "h2", "keys"],
@@ -116,11 +123,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            sets = [s for _, s in shingle_sets(part.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.list_(pa.int64()))],
-                names=["id", "n", "d"],
-            )
+            sizes, digests, keys = [], [], []
+            for _, s in shingle_sets(part.column(1)):
+                r = sketch(s, DIGEST)  # its first registers are those of the bands
+                sizes.append(len(s))
+                digests.append(digest_of(r))
+                keys.append(band_keys(r))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, longs), pa.array(keys, longs)], names=["id", "n", "d", "keys"])
 
 
 def _verified(percent: int):
@@ -159,13 +169,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rep_ids = classes.select(F.col("rep").alias("doc_id")).distinct()
     reps = known.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    buckets = cut(reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "buckets")
+    buckets = cut(reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key")), "buckets")
     crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(buckets.join(crowded, "key"), "shared")
     ids = shared.select(F.col("id").alias("doc_id")).distinct()
     # One pass moves the texts that any pair may need; planned alike at every size.
     texts = cut(base.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    digests = cut(texts.select("doc_id", "text").mapInArrow(_digests, "id long, n long, d array<long>"), "digests")
+    digests = cut(texts.select("doc_id", "text").mapInArrow(_digests, "id long, n long, d array<long>, keys array<long>"), "digests")
 
     order = [F.xxhash64("id", "key", F.lit(k)) for k in range(PIVOTS)]
     pivots = shared.groupBy("key").agg(*[F.min_by("id", o).alias(f"p{k}") for k, o in enumerate(order)]).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
@@ -178,11 +188,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     joined = cut(components(links), "joined")
 
     # Buckets that still hold different components: pairs between these.
-    marked = shared.where("size > 2").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    marked = shared.where("size > 2").join(joined, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     open_rows = cut(marked.join(mixed, "key", "left_semi").join(digests, "id"), "open")
-    between = open_rows.alias("x").join(open_rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {may_reach(percent)}"))
-    more = between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    between = open_rows.alias("x").join(open_rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {may_reach(percent)} and {first_common()}"))
+    more = between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(stars, ["a", "b"], "left_anti")
     links = links.union(_links(cut(more, "between"), texts, percent))
     found = cut(components(links), "joined")
 

@@ -84,7 +84,7 @@ def test_estimate_is_close():
     rng = np.random.default_rng(0)
     pool = rng.integers(1, 2**63, 3000, dtype=np.uint64)
     x, y = pool[:2000], pool[400:2400]
-    d = [near_dup.digest_of(s) for s in (x, y)]
+    d = [near_dup.digest_of(near_dup.sketch(s, near_dup.DIGEST)) for s in (x, y)]
     half = near_dup.DIGEST // 64
     differ = sum(bin((d[0][k] ^ d[1][k] | d[0][k + half] ^ d[1][k + half]) & (2**64 - 1)).count("1") for k in range(half))
     assert abs(1 - differ / near_dup.DIGEST / 0.75 - 1600 / 2400) < 0.12
