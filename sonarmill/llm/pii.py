@@ -9,12 +9,14 @@ Training windows come from the documents (a sample of at most ``max_windows``,
 labelled by the patterns) and from a seeded generator of written variants and of
 look-alikes that are no personal data.
 
-A text is cut into overlapping windows on a fixed grid. A span must hold a
-digit or an at-sign, in a sign or in letters, so only windows with one are
-decoded; this loses nothing. A decoded span counts if its first character lies in
-the middle part of its window (of the first or last one: up to the text's
-end), so overlapping windows agree on one owner for every place. Spans that touch
-a pattern's span, or that fail their kind's plausibility check, are dropped.
+A span must hold a digit or an at-sign, in a sign or in letters, so only the
+stretches round these are decoded; this loses nothing. A stretch's place depends
+on the signs, not on a grid, so a span is read alike wherever it lies. A decoded
+span that comes near an end of its stretch (other than the text's own) is decoded
+again with as much text on both sides as it is long, until it ends inside;
+there is no greatest length. Spans that touch a pattern's span, or that fail
+their kind's plausibility check, are dropped; of overlapping ones the first, then
+the longest, is kept.
 
 Nulls and empty texts have no spans. Repeated rows are treated alike; extra
 columns are ignored; an empty table trains on the generator alone.
@@ -40,7 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 GATE = re.compile(r"[0-9@]|[(\[ ][Aa][Tt][)\] ]")
 
-SPAN, STRIDE, MIDDLE = 96, 48, 24
+SPAN, MIDDLE, AROUND, LONGEST = 96, 24, 40, 384
 HIDDEN = 12
 MAX_WINDOWS = 1200
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -333,6 +335,43 @@ def learn(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Network:
     return network
 
 
+def _size(length: int) -> int:
+    return -(-max(length, 1) // SPAN) * SPAN
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """(start, size) of what is decoded: AROUND characters on both sides of every digit and at-sign.
+
+    Starts depend on the signs, not on their places in the text. Sizes are
+    multiples of SPAN; stretches that meet are one, and one longer than LONGEST is
+    dealt to overlapping parts.
+    """
+    joint: list[list[int]] = []
+    for m in GATE.finditer(text):
+        start, end = max(0, m.start() - AROUND), m.end() + AROUND
+        if joint and start < joint[-1][0] + _size(joint[-1][1] - joint[-1][0]):
+            joint[-1][1] = end
+        else:
+            joint.append([start, end])
+    out = []
+    for start, end in joint:
+        while end - start > LONGEST:
+            out.append((start, LONGEST))
+            start += LONGEST - SPAN
+        out.append((start, _size(end - start)))
+    return out
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first < out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
 class Finder:
     """Pattern spans and the network's spans of many texts at once."""
 
@@ -344,46 +383,62 @@ class Finder:
     def spans(self, texts: list[str]) -> list[tuple[dict, dict]]:
         """(pattern spans, added spans) of each text."""
         base = [base_spans(t) for t in texts]
-        todo: list[tuple[int, int]] = []
-        for k, t in enumerate(texts):
-            grid = max(1, -(-max(0, len(t) - SPAN) // STRIDE) + 1)
-            wanted = set()
-            for m in GATE.finditer(t):
-                lo = max(0, (m.start() - SPAN) // STRIDE + 1)
-                wanted.update(range(lo, min(grid - 1, m.end() // STRIDE) + 1))
-            todo += [(k, g * STRIDE) for g in sorted(wanted)]
-        added: list[dict[str, list[tuple[int, int]]]] = [{kind: [] for kind in KINDS} for _ in texts]
-        for at in range(0, len(todo), self.BATCH):
-            part = todo[at : at + self.BATCH]
-            x = np.full((len(part), SPAN), PAD, np.uint8)
-            for r, (k, start) in enumerate(part):
-                c = classes_of(texts[k][start : start + SPAN])
-                x[r, : len(c)] = c
-            tags = self.network.decode(x)
-            for r in np.flatnonzero(tags.any(axis=1)):
-                k, start = part[r]
-                self._take(texts[k], start, tags[r], base[k], added[k])
-        for found in added:
-            for kind in KINDS:
-                found[kind] = sorted(set(found[kind]))
+        candidates: list[set[tuple[int, int, int]]] = [set() for _ in texts]
+        todo = [(k, a, size, None) for k, t in enumerate(texts) for a, size in stretches(t)]
+        while todo:
+            cut: dict[int, list[tuple[int, int]]] = {}
+            by_size: dict[int, list[tuple]] = {}
+            for item in todo:
+                by_size.setdefault(item[2], []).append(item)
+            for size, items in sorted(by_size.items()):
+                rows = max(1, self.BATCH * SPAN // size)
+                for at in range(0, len(items), rows):
+                    part = items[at : at + rows]
+                    x = np.full((len(part), size), PAD, np.uint8)
+                    for r, (k, start, _, _) in enumerate(part):
+                        c = classes_of(texts[k][start : start + size])
+                        x[r, : len(c)] = c
+                    tags = self.network.decode(x)
+                    for r in np.flatnonzero(tags.any(axis=1)):
+                        k, start, _, target = part[r]
+                        self._read(texts[k], start, tags[r], target, base[k], candidates[k], cut.setdefault(k, []))
+            todo = []
+            for k, runs in cut.items():
+                for first, last in _merged(runs):
+                    more = max(SPAN // 2, last - first)
+                    start = max(0, first - more)
+                    todo.append((k, start, _size(min(last + more, len(texts[k])) - start), (first, last)))
+        added = []
+        for found, own in zip(candidates, base, strict=True):
+            taken: list[tuple[int, int]] = [s for spans in own.values() for s in spans]
+            kept: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
+            for first, minus, kind in sorted((a, -b, k) for a, b, k in found):
+                if not any(first < e and -minus > s for s, e in taken):
+                    taken.append((first, -minus))
+                    kept[KINDS[kind]].append((first, -minus))
+            added.append(kept)
         return list(zip(base, added, strict=True))
 
     @staticmethod
-    def _take(text: str, start: int, tags: np.ndarray, base: dict, added: dict) -> None:
-        lo = 0 if start == 0 else MIDDLE
-        hi = SPAN if start + SPAN >= len(text) else MIDDLE + STRIDE
-        begins = np.flatnonzero((tags % 2 == 1) & (np.arange(SPAN) >= lo) & (np.arange(SPAN) < hi))
-        for a in begins.tolist():
-            kind, b = KINDS[(tags[a] - 1) // 2], a + 1
-            while b < SPAN and tags[b] == tags[a] + 1:
+    def _read(text: str, start: int, tags: np.ndarray, target: tuple[int, int] | None, base: dict, candidates: set, cut: list) -> None:
+        """Whole spans of a stretch go to ``candidates``, runs near an inner end of it to ``cut``."""
+        size = len(tags)
+        for a in np.flatnonzero(tags % 2 == 1).tolist():
+            kind, b = (int(tags[a]) - 1) // 2, a + 1
+            while b < size and tags[b] == tags[a] + 1:
                 b += 1
             first, last = start + a, min(start + b, len(text))
+            if first >= last or (target and not (first < target[1] and last > target[0])):
+                continue
+            if any(first < e and last > s for found in base.values() for s, e in found):
+                continue
+            if (start and a < MIDDLE) or (start + size < len(text) and b > size - MIDDLE):
+                cut.append((first, last))
+                continue
             while last > first and text[last - 1] in " .,;:-/\n":
                 last -= 1
-            if any(first < e and last > s for spans in (base, added) for found in spans.values() for s, e in found):
-                continue
-            if plausible(kind, text[first:last]):
-                added[kind].append((first, last))
+            if plausible(KINDS[kind], text[first:last]):
+                candidates.add((first, last, kind))
 
 
 def _found(network: Network):

@@ -113,3 +113,20 @@ def test_redaction_and_odd_rows(spark, odd, nothing, network):
     assert pii.find(odd, network).count() == odd.count()
     assert pii.find(nothing, network).count() == 0 and pii.redact(nothing, network).count() == 0
     assert pii.redacted_text("abcdef", [("ip", 1, 4), ("phone", 3, 5)]) == "a[IP]f"
+
+
+@pytest.mark.parametrize("span", ["someone (at) mail7.example.com", "kim_9 (at) " + "abc7" * 20 + ".com"])
+def test_a_span_is_whole_wherever_it_lies(network, span):
+    finder = pii.Finder(network)
+    texts = ["la " * 30 + "x" * shift + " write to " + span + " today " + "la " * 60 for shift in range(2, 52)]
+    for text, (_, added) in zip(texts, finder.spans(texts), strict=True):
+        assert [text[a:b] for a, b in added["email"]] == [span]
+
+
+def test_dense_texts_lose_no_span_to_seams(network):
+    finder = pii.Finder(network)
+    one = "la " * 10 + "joe.smith (at) company.net " + "la " * 10
+    _, added = finder.spans([one * 60])[0]
+    assert len(added["email"]) == 60
+    assert pii.stretches("") == [] and pii.stretches("la la") == []
+    assert finder.spans(["0" * 3000])[0][1] == {k: [] for k in pii.KINDS}
