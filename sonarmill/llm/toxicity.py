@@ -183,9 +183,6 @@ class Scanner:
         self.hits: dict[str, tuple[str, int]] = {}
 
     def _new(self, tokens: set[str]) -> None:
-        if len(self.clean) > self.KNOWN:
-            self.clean.clear()
-            self.hits.clear()
         for token in tokens:
             found = self.automaton.match(token)
             if found:
@@ -195,6 +192,9 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, Counter]:
         """Number of tokens; (term, edits, quoted) with how often each occurs."""
+        if len(self.clean) > self.KNOWN:  # before anything is taken from the caches for this text
+            self.clean.clear()
+            self.hits.clear()
         tokens = TOKEN.findall(text.lower())
         distinct = set(tokens) - self.clean
         if not distinct:

@@ -93,3 +93,14 @@ def test_odd_rows_and_no_labels(spark, odd, nothing, trained):
     assert all(r["score"] < 1e-9 for r in tox.score(odd, model).collect())
     assert tox.score(odd, trained[2]).count() == odd.count()
     assert tox.score(nothing, trained[2]).count() == 0
+
+
+def test_a_full_cache_changes_no_hit():
+    class Small(tox.Scanner):
+        KNOWN = 5
+
+    model = tox.Model(words=["worthless", "moron"], prefixes=["pathe"])
+    rows, _ = _corpus(random.Random(6), 80)
+    small, whole = Small(model), tox.Scanner(model)
+    got = [small.scan(t) for _, t in rows]
+    assert got == [whole.scan(t) for _, t in rows] and any(h for _, h in got)
