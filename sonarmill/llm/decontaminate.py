@@ -8,12 +8,12 @@ holds is at least 0.8 of the whole.
 1. A window can only reach that if the *document* holds 0.8 of the item's
    weight, which one pass of hashed shingles against the items' shingles tells
    for every document; nothing that could be a leak is lost.
-2. For such documents the windows that line up with a shared shingle get
-   128-bit SimHash fingerprints of their words. They are looked up in sixteen
+2. For such documents and items every window is weighed, by counts that are
+   updated from one to the next; windows that reach 0.8 get 128-bit SimHash fingerprints of their words. They are looked up in sixteen
    one-byte tables that hold all items within two bits; by the pigeonhole
    principle any item within ``RADIUS`` = 45 bits (16 * 2 + 13 < 16 * 3) is
    among the found ones.
-3. Items within the radius are checked by exact weighted-shingle similarity.
+3. The best window of each item within the radius is reported.
 
 The benchmark is worked through in blocks of at most ``ITEMS_PER_BLOCK`` items
 (a bounded object is sent to the tasks), each against all documents.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonarmill.llm.textnum import mix64, shingle_hashes, texts_words
+from sonarmill.llm.textnum import SHINGLE, mix64, shingle_hashes, texts_words
 
 SIMILARITY = 0.8
 BLOCKS = 16  # of 8 bits
@@ -105,6 +105,37 @@ class Items:
             return 0.0
         return sum(w * min(c, value_counts.get(v, 0)) for v, (c, w) in own.items()) / self.total[item]
 
+    def _windows(self, item: int, place: np.ndarray, value: np.ndarray, n_words: int, similarity: float) -> Iterator[tuple[int, float]]:
+        """(first word, similarity) of the item's windows that reach ``similarity``, in order.
+
+        A window that starts at no shingle of the item holds no more than the one
+        that starts at the next shingle, so starts at these, at the last window
+        and lined up with a shingle's offset in the item stand for all windows.
+        """
+        own = self.weights[item]
+        n = len(self.words[item])
+        end, size = max(0, n_words - n), max(1, n - SHINGLE + 1)
+        mine = np.isin(value, np.fromiter(own, np.int64, len(own)))
+        place, value = place[mine], value[mine]
+        starts = [place, np.array([end])]
+        for v in np.unique(value).tolist():
+            at = slice(self.at[v], self.at[v + 1])
+            starts.append(np.subtract.outer(place[value == v], self.offset[at][self.owner[at] == item]).ravel())
+        starts = np.unique(np.clip(np.concatenate(starts), 0, end))
+        lo, hi = np.searchsorted(place, starts).tolist(), np.searchsorted(place, starts + size).tolist()
+        values, counts, held, a, b = value.tolist(), dict.fromkeys(own, 0), 0.0, 0, 0
+        for start, x, y in zip(starts.tolist(), lo, hi, strict=True):
+            for v in values[b:y]:
+                held += own[v][1] * (counts[v] < own[v][0])
+                counts[v] += 1
+            for v in values[a:x]:
+                counts[v] -= 1
+                held -= own[v][1] * (counts[v] < own[v][0])
+            a, b = x, y
+            # The running sum may be off in its last digits; the similarity is summed afresh.
+            if held >= (similarity - 1e-6) * self.total[item] and (s := self.similarity(item, counts)) >= similarity:
+                yield start, s
+
     def leaks(self, words: np.ndarray, similarity: float) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): the best window of each item that the text leaks."""
         shingles = shingle_hashes(words)
@@ -116,20 +147,11 @@ class Items:
         wanted = {i for i in wanted if self.similarity(i, counts) >= similarity}
         if not wanted:
             return []
-        windows = set()
-        for p, v in zip(place.tolist(), value.tolist(), strict=True):
-            for k in range(self.at[v], self.at[v + 1]):
-                if (i := int(self.owner[k])) in wanted:
-                    n = len(self.words[i])
-                    windows.add((max(0, min(p - int(self.offset[k]), len(words) - n)), n))
         best: dict[int, tuple[int, int, float]] = {}
-        for start, n in sorted(windows):
-            size = max(1, n - 4)
-            a, b = np.searchsorted(place, (start, start + size))
-            inside = dict(zip(*(x.tolist() for x in np.unique(value[a:b], return_counts=True)), strict=True))
-            for item in self.within(fingerprint(words[start : start + n])).tolist():
-                s = self.similarity(item, inside)
-                if s >= similarity and (item not in best or s > best[item][2]):
+        for item in sorted(wanted):
+            n = len(self.words[item])
+            for start, s in self._windows(item, place, value, len(words), similarity):
+                if (item not in best or s > best[item][2]) and item in self.within(fingerprint(words[start : start + n])):
                     best[item] = (start, n, s)
         return [(i, *x) for i, x in sorted(best.items())]
 

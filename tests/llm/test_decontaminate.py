@@ -78,3 +78,30 @@ def test_odd_rows(spark, odd, nothing):
     assert {r["doc_id"] for r in got} == {4, 5}
     assert dec.find_leaks(nothing, items).count() == 0
     assert dec.find_leaks(odd, items.limit(0)).count() == 0
+
+
+def found_and_wanted(spark, docs, items):
+    got = dec.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got}, brute(docs, items)
+
+
+def test_reordered_and_edited_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"b{rng.randrange(900)}" for _ in range(60))) for k in range(12)]
+    docs = []
+    for k in range(120):
+        w = words(items[k % 12][1])
+        if k % 3 == 0:
+            cut = rng.randint(5, 55)
+            w = w[cut:] + w[:cut]
+        else:
+            at = rng.randint(0, 50)
+            w[at : at + rng.randint(0, 4)] = ["new"] * rng.randint(0, 8)
+        if k % 3 == 1:
+            at = rng.randint(0, 50)
+            w[at : at + 3] = []
+        text = [f"d{rng.randrange(3000)}" for _ in range(rng.randint(0, 80))]
+        at = rng.randint(0, len(text))
+        docs.append((k, " ".join(text[:at] + w + text[at:])))
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and any(d % 3 == 0 for d, _ in want)
