@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact check.
+"""Benchmark passages in documents: every item-sized window, weighed by shared shingles.
 
 Words are lower-cased (A-Z) runs without blanks; shingles are 5 words. An
 item's shingle weighs its count over the number of items that have it. A
@@ -9,11 +9,13 @@ holds is at least 0.8 of the whole.
    weight, which one pass of hashed shingles against the items' shingles tells
    for every document; nothing that could be a leak is lost.
 2. For such documents and items every window is weighed, by counts that are
-   updated from one to the next; windows that reach 0.8 get 128-bit SimHash fingerprints of their words. They are looked up in sixteen
-   one-byte tables that hold all items within two bits; by the pigeonhole
-   principle any item within ``RADIUS`` = 45 bits (16 * 2 + 13 < 16 * 3) is
-   among the found ones.
-3. The best window of each item within the radius is reported.
+   updated from one to the next. The best window of each item is reported.
+
+The items' 128-bit SimHash fingerprints and their multi-index table (``within``:
+sixteen one-byte tables that hold all items within two bits, so by the pigeonhole
+principle any item within ``RADIUS`` = 45 bits, 16 * 2 + 13 < 16 * 3) decide
+nothing here: they count all words alike, and a window that holds 0.8 of the
+weight of an item with much text in common with others may lie beyond any radius.
 
 The benchmark is worked through in blocks of at most ``ITEMS_PER_BLOCK`` items
 (a bounded object is sent to the tasks), each against all documents.
@@ -151,7 +153,7 @@ class Items:
         for item in sorted(wanted):
             n = len(self.words[item])
             for start, s in self._windows(item, place, value, len(words), similarity):
-                if (item not in best or s > best[item][2]) and item in self.within(fingerprint(words[start : start + n])):
+                if item not in best or s > best[item][2]:
                     best[item] = (start, n, s)
         return [(i, *x) for i, x in sorted(best.items())]
 

@@ -105,3 +105,14 @@ def test_reordered_and_edited_passages_equal_brute_force(spark):
         docs.append((k, " ".join(text[:at] + w + text[at:])))
     got, want = found_and_wanted(spark, docs, items)
     assert got == want and any(d % 3 == 0 for d, _ in want)
+
+
+def test_items_with_a_common_template_equal_brute_force(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"b{rng.randrange(10**6)}" for _ in range(n)]
+    template = some(36)
+    own = [some(24) for _ in range(40)]
+    items = [(k, " ".join(template + o)) for k, o in enumerate(own)]
+    docs = [(k, " ".join(some(40) + o + some(40))) for k, o in enumerate(own)] + [(99, " ".join(template))]
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and {(k, k) for k in range(40)} <= set(want)
