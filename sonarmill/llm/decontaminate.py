@@ -21,7 +21,7 @@ The benchmark is worked through in blocks of at most ``ITEMS_PER_BLOCK`` items
 (a bounded object is sent to the tasks), each against all documents.
 
 Nulls, empty texts and items without words match nothing. Texts and items under 5
-words are one shingle. Repeated rows are reported for each row; extra columns
+words are one shingle; texts are also searched for shingles as short as such items. Repeated rows are reported for each row; extra columns
 are ignored.
 """
 
@@ -77,6 +77,7 @@ class Items:
         for v, o, c in zip(value.tolist(), pairs[:, 1].tolist(), counts.tolist(), strict=True):
             self.weights[o][v] = (c, 1.0 / spread[v])
             self.total[o] += c / spread[v]
+        self.short = sorted({len(w) for w in words if 0 < len(w) < SHINGLE})
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         prints = np.array([fingerprint(w) for w in words], np.uint8).reshape(len(words), BLOCKS)
@@ -138,24 +139,35 @@ class Items:
             if held >= (similarity - 1e-6) * self.total[item] and (s := self.similarity(item, counts)) >= similarity:
                 yield start, s
 
+    def _short(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Leaks of items under SHINGLE words: the first place of each one's only shingle."""
+        out = []
+        for width in self.short:
+            if width <= len(words):
+                place, value = self.places(shingle_hashes(words, width))
+                values, first = np.unique(value, return_index=True)
+                out += [(i, int(place[k]), width, 1.0) for v, k in zip(values.tolist(), first.tolist(), strict=True) for i in self.owner[self.at[v] : self.at[v + 1]].tolist()]
+        return out
+
     def leaks(self, words: np.ndarray, similarity: float) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): the best window of each item that the text leaks."""
-        shingles = shingle_hashes(words)
-        place, value = self.places(shingles)
+        short = self._short(words)
+        place, value = self.places(shingle_hashes(words))
         if not len(place):
-            return []
+            return short
         counts = dict(zip(*(x.tolist() for x in np.unique(value, return_counts=True)), strict=True))
         wanted = {i for v in counts for i in self.owner[self.at[v] : self.at[v + 1]].tolist()}
         wanted = {i for i in wanted if self.similarity(i, counts) >= similarity}
+        wanted = {i for i in wanted if len(self.words[i]) >= SHINGLE}
         if not wanted:
-            return []
+            return short
         best: dict[int, tuple[int, int, float]] = {}
         for item in sorted(wanted):
             n = len(self.words[item])
             for start, s in self._windows(item, place, value, len(words), similarity):
                 if item not in best or s > best[item][2]:
                     best[item] = (start, n, s)
-        return [(i, *x) for i, x in sorted(best.items())]
+        return sorted([*short, *((i, *x) for i, x in best.items())])
 
 
 LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])

@@ -116,3 +116,10 @@ def test_items_with_a_common_template_equal_brute_force(spark):
     docs = [(k, " ".join(some(40) + o + some(40))) for k, o in enumerate(own)] + [(99, " ".join(template))]
     got, want = found_and_wanted(spark, docs, items)
     assert got == want and {(k, k) for k in range(40)} <= set(want)
+
+
+def test_short_items_are_found_inside_longer_texts(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "One two three four"), (4, "one two three four five six"), (5, "two three")]
+    docs = [(1, "x y alpha z a b c"), (2, "q beta gamma"), (3, "a b c one two three four d e"), (4, "beta x gamma alphas and more"), (5, "one two three four five six"), (6, "alpha"), (7, "a two three one two three b")]
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and (3, 3) in want and (1, 1) in want
