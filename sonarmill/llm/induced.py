@@ -12,7 +12,8 @@ least over the scan between them.
 
 Text, tuples and orders lie in files of a scratch folder that belongs to the
 running task alone and goes when it ends; a queue keeps at most ``chunk`` tuples
-in memory. Only one bit per symbol (its class) is held for a whole text.
+in memory. Classes, LMS places, ranks and names of the whole text are held in
+memory, so memory grows with the text: 74 to 97 bytes a symbol at 4 million.
 Common prefixes are capped at ``depth``; suffixes equal that far may come in
 any order.
 """

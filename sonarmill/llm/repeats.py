@@ -12,8 +12,9 @@
    Windows are dealt by the anchor's offset in them into a few bands; all windows
    of a band share a core. Cores that occur once can hold no repeat. The pieces
    of text round the others are dealt by core to shards, and each shard's suffixes are sorted
-   with common-prefix values by external induced sorting (``induced``), whose
-   queues lie on disk, so a shard may be far larger than memory. Neighbours with a
+   with common-prefix values by induced sorting (``induced``), whose queues lie
+   on disk but whose other arrays are held in memory. All pieces with one core
+   are one shard, so a task's memory grows with its largest core. Neighbours with a
    common prefix of 400 are the repeats.
 
 Matches never cross a text: pieces are cut at its ends, and a separator that
