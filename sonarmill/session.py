@@ -11,10 +11,12 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
+_CUT: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def build_session(app: str = "sonarmill", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -38,10 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is read from the session; a temporary one is made, and set, only where
-    the session names none.
+    the session names none and all of it runs on this machine. On a cluster
+    a folder of one machine would be wrong, so there the setting is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         if not _LOCAL_SCRATCH:
             _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="sonarmill-"))
         named = f"file://{_LOCAL_SCRATCH[0]}"
@@ -76,4 +81,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _CUT[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut``; only for those that nothing will read again."""
+    for df in tables:
+        made, path = _CUT.pop(id(df), (None, None))
+        if made is not None and made() is df:
+            remove_path(df.sparkSession, path)
