@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonarmill.session import cut
+from sonarmill.session import cut, free
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(links.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = cut(_star(_star(edges, True), False), "edges")
+        before, edges = edges, cut(_star(_star(edges, True), False), "edges")
+        free(before)
         total = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if total == seen:
             break

@@ -16,9 +16,15 @@ only if sizes and estimate allow the threshold (the estimate is part of the
 join's condition, so other pairs are never made). Pairs inside a component need
 no test, for it is joined already, so no link between components is lost.
 
+A class is known by a node: doc_id and text hash of its least row, as one
+number that sorts by doc_id. Classes that share a doc_id (rows that repeat it
+with other texts) are linked, so such rows are one document with several texts.
+
 Nulls: a null or wordless text has an empty set, is linked with nothing and
 kept. A null doc_id is linked with nothing: its component_id is null and it is
-kept. Rows that repeat a doc_id are one document. Extra columns are ignored.
+kept. Rows that repeat a doc_id and its text are alike; n_shingles is always
+that of the row's own text. Extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,19 +34,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarmill.llm.components import components
 from sonarmill.llm.textnum import shingle_sets
-from sonarmill.session import cut
+from sonarmill.session import cut, free
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-DIGEST = 1024  # registers of the digest that estimates use; two mantissa bits of each
+DIGEST = 320  # registers of the digest that estimates use
+LEAD, TAIL = 5, 6  # bits of a digest's register: lead count (31 stands for more) and mantissa
+LANE = LEAD + TAIL + 1  # one bit to spare: the sum of two lanes stays inside
+LANES = 5
+CHANCE = 0.18034 / (1 << TAIL)  # that registers of two unlike sets of one size agree: the integral of density squared times cell width
 SURE = 4.5  # standard deviations allowed below an expectation before a pair is let go
 PIVOTS = 3
+SPLIT = 1000  # members of a bucket that one task compares with all others
+SPAN = 10**18
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 1 << 63, DIGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,9 +86,11 @@ def band_keys(registers: np.ndarray) -> list[int]:
 
 
 def digest_of(registers: np.ndarray) -> list[int]:
-    """The two leading mantissa bits of DIGEST registers, as 64-bit planes: all first bits, then all second."""
-    planes = [np.packbits((registers >> shift) & 1).view(np.int64) for shift in (MANTISSA - 1, MANTISSA - 2)]
-    return np.concatenate(planes).tolist()
+    """Lead counts and leading mantissa bits of DIGEST registers, LANES to a number."""
+    lead = np.minimum(registers >> MANTISSA, (1 << LEAD) - 1).astype(np.int64)
+    tail = ((registers >> (MANTISSA - TAIL)) & ((1 << TAIL) - 1)).astype(np.int64)
+    lanes = (lead << TAIL | tail).reshape(-1, LANES)
+    return (lanes << (LANE * np.arange(LANES))).sum(axis=1).tolist()
 
 
 def first_common() -> str:
@@ -85,26 +99,26 @@ def first_common() -> str:
 
 
 def may_reach(percent: int) -> str:
-    """SQL over digests x.d and y.d: the collision-corrected estimate may still reach the threshold.
+    """SQL over digests x.d and y.d of sets of x.n and y.n: the estimate may still reach the threshold.
 
-    Unequal registers agree in two bits with chance c = 1/4, so registers differ
-    with chance (1 - J)(1 - c). At the threshold that many differ, plus SURE
-    standard deviations, at most.
+    Registers of unlike sets agree by chance c = CHANCE * 4 n m / (n + m)^2, so of
+    k registers k (J + (1 - J) c) are expected to be equal. The estimate of J
+    corrected for that may be SURE standard deviations below the threshold.
     """
-    p = (1 - percent / 100) * 0.75
-    most = int(DIGEST * p + SURE * (DIGEST * p * (1 - p)) ** 0.5) + 1
-    half = DIGEST // 64
-    differ = " + ".join(f"bit_count((x.d[{k}] ^ y.d[{k}]) | (x.d[{k + half}] ^ y.d[{k + half}]))" for k in range(half))
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differ} <= {most}"
+    j = percent / 100
+    least = j - SURE * (j * (1 - j) / DIGEST) ** 0.5
+    ones, tops = (sum(v << (LANE * k) for k in range(LANES)) for v in ((1 << LANE - 1) - 1, 1 << LANE - 1))
+    differ = " + ".join(f"bit_count(((x.d[{k}] ^ y.d[{k}]) + {ones}L) & {tops}L)" for k in range(DIGEST // LANES))
+    c = f"({CHANCE!r}D * 4D * x.n * y.n / (double(x.n + y.n) * double(x.n + y.n)))"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {DIGEST} - ({differ}) >= {DIGEST} * ({c} + {least!r}D * (1D - {c}))"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
         for at in range(0, batch.num_rows, 1000):
-            rows = batch.column(1).slice(at, 1000)
+            part = batch.slice(at, 1000)
             sizes, h1, h2, keys = [], [], [], []
-            for _, s in shingle_sets(rows):
+            for _, s in shingle_sets(part.column(2)):
                 sizes.append(len(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 h1.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -114,8 +128,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 keys.append(band_keys(sketch(s)))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h1", "h2", "keys"],
+                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "n", "h1", "h2", "keys"],
             )
 
 
@@ -150,32 +164,43 @@ def _verified(percent: int):
     return run
 
 
+NODE = "decimal(38,0)"
+
+
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link on full sets."""
-    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return cut(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long, n_both long, n_union long"), "links")
+    ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return cut(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(percent), f"a {NODE}, b {NODE}, n_both long, n_union long"), "links")
+
+
+def _node(doc_id: str = "doc_id", th: str = "th") -> Column:
+    return (F.col(doc_id).cast("decimal(19,0)") * F.lit(SPAN).cast("decimal(19,0)") + F.pmod(F.col(th), F.lit(SPAN))).cast(NODE)
+
+
+def _doc_id(node: str) -> Column:
+    return F.expr(f"({node} - pmod({node}, {SPAN}BD)) div {SPAN}BD")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links for every row of ``docs``.
 
-    n_links counts verified links of the document's class representative that
-    the search needed; it is a lower bound once a component is joined.
+    n_links counts verified links of the document's class that the search
+    needed; it is a lower bound once a component is joined.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(base.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "sketches")
-    known = sketches.where("doc_id is not null and n > 0")
-    classes = cut(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    rep_ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = known.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    buckets = cut(reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key")), "buckets")
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+    sketches = cut(base.mapInArrow(_sketches, "doc_id long, th long, n long, h1 long, h2 long, keys array<long>"), "sketches")
+    known = sketches.where("doc_id is not null and n > 0").withColumn("id", _node())
+    classes = cut(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")), "classes")
+
+    buckets = cut(classes.select("id", F.posexplode("keys").alias("band", "key")), "buckets")
     crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(buckets.join(crowded, "key"), "shared")
-    ids = shared.select(F.col("id").alias("doc_id")).distinct()
+    ids = shared.select("id").distinct()
     # One pass moves the texts that any pair may need; planned alike at every size.
-    texts = cut(base.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    digests = cut(texts.select("doc_id", "text").mapInArrow(_digests, "id long, n long, d array<long>, keys array<long>"), "digests")
+    texts = base.where("doc_id is not null").withColumn("id", _node()).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    texts = cut(texts.select("id", "text"), "texts")
+    digests = cut(texts.mapInArrow(_digests, f"id {NODE}, n long, d array<long>, keys array<long>"), "digests")
 
     order = [F.xxhash64("id", "key", F.lit(k)) for k in range(PIVOTS)]
     pivots = shared.groupBy("key").agg(*[F.min_by("id", o).alias(f"p{k}") for k, o in enumerate(order)]).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
@@ -184,24 +209,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     y = digests.select(F.col("id").alias("high"), F.struct("n", "d").alias("y"))
     near = star.join(x, "low").alias("s").join(y.alias("t"), F.expr(f"s.high = t.high and {may_reach(percent)}"))
     stars = cut(near.select(F.col("low").alias("a"), F.col("s.high").alias("b")), "stars")
-    links = _links(stars, texts, percent)
-    joined = cut(components(links), "joined")
+    first = _links(stars, texts, percent)
+
+    # Classes that share a doc_id are texts of one document.
+    several = known.groupBy("doc_id").agg(*[f(x).alias(f"{x}_{k}") for x in ("h1", "h2", "n") for k, f in enumerate((F.min, F.max))])
+    several = several.where("h1_0 < h1_1 or h2_0 < h2_1 or n_0 < n_1").select("doc_id")
+    owned = cut(known.join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n").distinct().join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"]).select("doc_id", "id"), "owned")
+    same = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
+    joined = cut(components(first.select("a", "b").union(same)), "joined")
 
-    # Buckets that still hold different components: pairs between these.
-    marked = shared.where("size > 2").join(joined, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
+    # Buckets that still hold different components: pairs between these. A large bucket's members are dealt to several tasks.
+    marked = shared.where("size > 2").join(joined, "id", "left").select("key", "band", "size", "id", F.coalesce("component", "id").alias("c"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = cut(marked.join(mixed, "key", "left_semi").join(digests, "id"), "open")
-    between = open_rows.alias("x").join(open_rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {may_reach(percent)} and {first_common()}"))
-    more = between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(stars, ["a", "b"], "left_anti")
-    links = links.union(_links(cut(more, "between"), texts, percent))
-    found = cut(components(links), "joined")
-
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_class = (
-        classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select("h1", "h2", "n", F.coalesce("component", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    open_rows = cut(marked.join(mixed, "key", "left_semi").join(digests, "id").withColumn("parts", F.ceil(F.col("size") / SPLIT).cast("int")), "open")
+    one = open_rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    every = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    between = one.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key and x.part = y.part and x.id < y.id and x.c <> y.c and {may_reach(percent)} and {first_common()}"))
+    more = cut(between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(stars, ["a", "b"], "left_anti"), "between")
+    second = _links(more, texts, percent)
+    links = first.union(second).select("a", "b")
+    found = cut(components(links.union(same)), "joined")
+
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+    of_class = cut(
+        classes.join(found, "id", "left").join(degree, "id", "left").select("h1", "h2", "n", _doc_id("coalesce(component, id)").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        "of-class",
     )
+    free(classes, buckets, shared, texts, digests, stars, joined, open_rows, more, first, second, owned, found)
     rows = sketches.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("doc_id")))
     return rows.select(

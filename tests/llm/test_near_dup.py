@@ -80,11 +80,60 @@ def test_registers_keep_order_and_size():
     assert lead.tolist() == [64 - int(x).bit_length() for x in v]
 
 
+def equal_registers(x, y):
+    lanes = [[(v >> (near_dup.LANE * k)) & ((1 << near_dup.LANE) - 1) for v in d for k in range(near_dup.LANES)] for d in (x, y)]
+    return sum(a == b for a, b in zip(*lanes, strict=True))
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(0)
     pool = rng.integers(1, 2**63, 3000, dtype=np.uint64)
     x, y = pool[:2000], pool[400:2400]
     d = [near_dup.digest_of(near_dup.sketch(s, near_dup.DIGEST)) for s in (x, y)]
-    half = near_dup.DIGEST // 64
-    differ = sum(bin((d[0][k] ^ d[1][k] | d[0][k + half] ^ d[1][k + half]) & (2**64 - 1)).count("1") for k in range(half))
-    assert abs(1 - differ / near_dup.DIGEST / 0.75 - 1600 / 2400) < 0.12
+    share, c = equal_registers(*d) / near_dup.DIGEST, near_dup.CHANCE
+    assert abs((share - c) / (1 - c) - 1600 / 2400) < 0.12
+
+
+def test_registers_of_unlike_sets_agree_as_often_as_the_correction_says():
+    rng = np.random.default_rng(4)
+    agree = tried = 0
+    for _ in range(60):
+        n, m = 300, 900
+        d = [near_dup.digest_of(near_dup.sketch(rng.integers(1, 2**63, k, dtype=np.uint64), near_dup.DIGEST)) for k in (n, m)]
+        agree, tried = agree + equal_registers(*d), tried + near_dup.DIGEST
+    expected = near_dup.CHANCE * 4 * n * m / (n + m) ** 2
+    assert abs(agree / tried - expected) < 5 * (expected / tried) ** 0.5
+
+
+def test_condition_in_sql_is_the_estimate(spark):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 2**63, 4000, dtype=np.uint64)
+    rows, want = [], []
+    for shift in range(0, 600, 40):
+        x, y = pool[:1000], pool[shift : 1000 + shift]
+        d = [near_dup.digest_of(near_dup.sketch(s, near_dup.DIGEST)) for s in (x, y)]
+        c = near_dup.CHANCE
+        least = 0.8 - near_dup.SURE * (0.8 * 0.2 / near_dup.DIGEST) ** 0.5
+        want.append((equal_registers(*d) / near_dup.DIGEST - c) / (1 - c) >= least)
+        rows.append((shift, (1000, d[0]), (1000, d[1])))
+    kind = "struct<n: long, d: array<long>>"
+    got = spark.createDataFrame(rows, f"k int, x {kind}, y {kind}").selectExpr("k", near_dup.may_reach(80) + " as ok").orderBy("k").collect()
+    assert [r["ok"] for r in got] == want and any(want) and not all(want)
+
+
+def test_texts_that_share_a_doc_id_are_one_document(spark):
+    """Rows (1, A), (1, B), (2, near A), (3, near B): all of one component."""
+    a, b = ([f"{x}{k}" for k in range(120)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[:-1])), (9, "other words")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (9, 9)}
+
+
+def test_large_buckets_are_dealt_to_tasks_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SPLIT", 3)
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(90)]
+    texts = [" ".join(common + [f"f{f}x{k}" for k in range(14)] + [f"r{rng.randrange(10**6)}"]) for f in range(12) for _ in range(3)]
+    rows = [(2 * k - 20, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 85)
