@@ -123,3 +123,38 @@ def test_short_items_are_found_inside_longer_texts(spark):
     docs = [(1, "x y alpha z a b c"), (2, "q beta gamma"), (3, "a b c one two three four d e"), (4, "beta x gamma alphas and more"), (5, "one two three four five six"), (6, "alpha"), (7, "a two three one two three b")]
     got, want = found_and_wanted(spark, docs, items)
     assert got == want and (3, 3) in want and (1, 1) in want
+
+
+def test_filler_of_one_repeated_word_loses_nothing(spark):
+    """Partial items with repeated, distinct or natural filler, 0.8 to 1 of the weight: recall against brute force."""
+    rng = random.Random(21)
+    items = [(k, " ".join(f"b{rng.randrange(10**5)}" for _ in range(rng.randint(30, 80)))) for k in range(50)]
+    docs = []
+    for k in range(150):
+        w = words(items[k % 50][1])
+        keep = round(len(w) * rng.uniform(0.82, 0.97))
+        kind = k // 50
+        filler = [["same"] * 60, [f"d{rng.randrange(10**6)}" for _ in range(60)], [rng.choice(["the", "of", "and"]) for _ in range(60)]][kind]
+        docs.append((k, " ".join(filler[:30] + w[:keep] + filler)))
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and len(want) > 100
+
+
+def test_a_block_changes_no_similarity(spark, monkeypatch):
+    rng = random.Random(22)
+    common = [f"t{k}" for k in range(24)]
+    items = [(k, " ".join(common + [f"o{k}x{j}" for j in range(16)])) for k in range(6)]
+    docs = [(at, " ".join(words(items[0][1])[:at] + ["z"] * 20)) for at in range(25, 41)]
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and got
+    monkeypatch.setattr(dec, "ITEMS_PER_BLOCK", 2)
+    assert found_and_wanted(spark, docs, items)[0] == got
+
+
+def test_a_very_long_item_and_leaks_beside_other_items(spark):
+    rng = random.Random(23)
+    items = [(1, " ".join(f"v{rng.randrange(10**6)}" for _ in range(3000)))] + [(k, " ".join(f"b{rng.randrange(10**6)}" for _ in range(40))) for k in range(2, 20)]
+    docs = [(1, items[0][1]), (2, "x " + " ".join(items[0][1].split()[:2600]))]
+    docs += [(k, " ".join(words(items[k][1])[:35] + words(items[k + 1][1])[:30])) for k in range(2, 18)]
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and len(want) >= 18
