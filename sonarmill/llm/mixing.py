@@ -2,20 +2,26 @@
 
 A classifier trained on rows with a known source (a sample of at most about
 ``max_train``, split evenly among the sources) gives every document a posterior
-over the sources. A known source counts as a label that errs with chance
-``label_error``: the membership is that mixture of label and posterior; without
-a source it is the posterior alone.
+over the sources. The posterior of its text is a document's membership; its own
+``source`` is used for training only, never for its prediction.
 
 The rates r >= 0 (expected copies of a document) minimise the sum over sources k of
 (T_k - b_k)^2 / S_k, where T_k = sum r * tokens * membership, S_k is T_k at
-r = 1 and b_k the target. Projected gradient steps start at r = 1:
+r = 1 and b_k the target. Projected gradient steps with momentum start at r = 1:
 
-    r <- max(0, r - sum_k membership_k * (T_k - b_k) / S_k)
+    y = r + j / (j + 3) * (r - r of the step before),  j steps since momentum was dropped
+    r <- max(0, y - sum_k membership_k * (T_k(y) - b_k) / S_k)
 
 In the metric of tokens this is the gradient at step 1, which is safe: the
 Hessian divided by S has rows that sum to 1. A document's rate follows from the
 residuals of all steps so far, so no rates are stored between steps: a step sends K
-numbers to the tasks and gets K sums back, combined before the shuffle.
+numbers to the tasks and gets K sums and the objective's movement back, combined before the shuffle.
+
+Totals can only be moved as far as the texts tell sources apart; where they say
+little, the fit ends short of its targets, and says so (``converged``, ``miss``).
+
+There is no limit to the number of sources K; a row's membership and a step hold K numbers, the classifier
+LATENT * K.
 
 Nulls: a null or wordless text has 0 tokens and changes no total; it still gets
 a rate. Repeated rows count as documents each; extra columns are ignored; an
@@ -38,11 +44,9 @@ from sonarmill.llm.textnum import slabs, word_spans
 from sonarmill.session import cut
 
 MAX_TRAIN = 4000
-MAX_SOURCES = 2000  # more is an error: K numbers a source go to every task
-LABEL_ERROR = 0.1
 TEMPER = 0.5  # default targets: token shares to this power
-MAX_STEPS = 40
-TOLERANCE = 1e-4
+MAX_STEPS = 60
+TOLERANCE = 1e-4  # share of all tokens
 LATENT = 96
 
 
@@ -72,7 +76,8 @@ def fit(labels: list[str], counts: np.ndarray, sources: list[str], shares: np.nd
     x = _latent(counts, project)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / spread
-    y = np.array([sources.index(s) for s in labels])
+    place = {s: k for k, s in enumerate(sources)}
+    y = np.array([place[s] for s in labels])
     gold = np.eye(len(sources))[y]
     coef, bias = np.zeros((LATENT, len(sources))), np.zeros(len(sources))
     fast, rate = coef, 1.0 / (0.5 * (np.linalg.norm(x, 2) ** 2 / len(x)) + ridge)
@@ -95,18 +100,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(packed, pa.binary())], names=["source", "counts"])
 
 
+def spark_map(like: DataFrame, shares: dict[str, int]) -> DataFrame:
+    """(source, share) as a table of one row a source."""
+    return like.sparkSession.createDataFrame(list(shares.items()), "source string, share long")
+
+
 def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")).where("source is not null")
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     each = max(1, max_train // len(sizes))
-    share = F.lit(0)
-    for source, n in sizes.items():
-        share = F.when(F.col("source") == source, F.lit(int(1_000_000 * min(1.0, each / n)) + 1)).otherwise(share)
-    chosen = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < share)).limit(2 * max_train)
+    shares_of = spark_map(docs, {source: int(1_000_000 * min(1.0, each / n)) + 1 for source, n in sizes.items()})
+    chosen = rows.join(shares_of, "source").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < F.col("share"))).limit(2 * max_train + len(sizes))
     got = chosen.select("text", "source").mapInArrow(_featured, "source string, counts binary").toPandas()
     sources = sorted(sizes)
     shares = np.array([sizes[s] for s in sources], float) / sum(sizes.values())
@@ -116,9 +122,7 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     return fit([got["source"][i] for i in order], np.stack([np.frombuffer(got["counts"][i], np.uint16) for i in order]), sources, shares)
 
 
-def _memberships(model: Model, label_error: float):
-    index = {s: k for k, s in enumerate(model.sources)}
-
+def _memberships(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
@@ -126,10 +130,6 @@ def _memberships(model: Model, label_error: float):
                 tokens = np.concatenate([np.diff(word_spans(data, off)[2]) for _, data, off in slabs(part.column(1))])
                 counts = np.stack([c for _, c, _ in gram_counts(part.column(1))])
                 p = softmax(_latent(counts, model.project) @ model.coef + model.bias)
-                for row, source in enumerate(part.column(2).to_pylist()):
-                    if source is not None:
-                        p[row] *= label_error
-                        p[row, index[source]] += 1 - label_error
                 flat = pa.array(p.astype(np.float32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), lists], names=["doc_id", "n_tokens", "p"])
@@ -141,39 +141,48 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(np.float64)
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps, each the vector (T - b) / S."""
-    r = np.ones(len(p))
-    for v in steps:
-        r = np.maximum(0.0, r - p @ v)
-    return r
+def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the given steps, and the point at which the next gradient is due.
 
+    A step is the vector (T - b) / S at the point before it, and how many steps since momentum was dropped.
+    """
+    r = y = np.ones(len(p))
+    for v, j in steps:
+        before, r = r, np.maximum(0.0, y - p @ v)
+        y = r + j / (j + 3) * (r - before)
+    return r, y
+
+
+def _totals(k: int, steps: list[tuple[np.ndarray, int]]):
+    """Sums over documents: of r and of y by source, and of tokens times the last movement of r."""
 
-def _totals(k: int, steps: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(2 * k + 1)
         for batch in batches:
             if batch.num_rows:
-                p = _matrix(batch.column(1), k)
-                total += (rates_of(p, steps) * batch.column(0).to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(total)], names=["k", "total"])
+                p, tokens = _matrix(batch.column(1), k), batch.column(0).to_numpy()
+                r, y = rates_of(p, steps)
+                total[:k] += (r * tokens) @ p
+                total[k : 2 * k] += (y * tokens) @ p
+                total[2 * k] += np.abs(r - (rates_of(p, steps[:-1])[0] if steps else r)) @ tokens
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k + 1), pa.int32()), pa.array(total)], names=["k", "total"])
 
     return run
 
 
-def totals(members: DataFrame, k: int, steps: list[np.ndarray]) -> np.ndarray:
+def totals(members: DataFrame, k: int, steps: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
     rows = members.select("n_tokens", "p").mapInArrow(_totals(k, steps), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
-    out = np.zeros(k)
+    out = np.zeros(2 * k + 1)
     for r in rows:
         out[r["k"]] = r["total"]
-    return out
+    return out[:k], out[k : 2 * k], float(out[2 * k])
 
 
-def _rated(steps: list[np.ndarray], k: int, sources: list[str]):
+def _rated(steps: list[tuple[np.ndarray, int]], k: int, sources: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch.column(2), k)
-            r = rates_of(p, steps)
+            r = rates_of(p, steps)[0]
             best = p.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([sources[j] for j in best], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(r), pa.array(r * batch.column(1).to_numpy())],
@@ -183,29 +192,48 @@ def _rated(steps: list[np.ndarray], k: int, sources: list[str]):
     return run
 
 
-def mix(docs: DataFrame, targets: dict[str, float] | None = None, label_error: float = LABEL_ERROR, temper: float = TEMPER, max_train: int = MAX_TRAIN) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, targets: dict[str, float] | None = None, temper: float = TEMPER, max_train: int = MAX_TRAIN, max_steps: int = MAX_STEPS) -> tuple[DataFrame, dict]:
     """(doc_id, n_tokens, domain, membership, rate, expected_tokens) of every row, and the fit.
 
     ``targets`` are weights by source (missing: 0); by default each source's
     token share to the power ``temper``. Expected totals add up to the tokens there are.
+    The fit tells sources, targets, totals, steps, ``miss`` (share of tokens in the wrong source),
+    ``moved`` (share of tokens by which the last step moved rates) and ``converged`` (either is within TOLERANCE).
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     model = learn(base, max_train)
     if model is None:
         model = Model([""], np.zeros((WIDTH, LATENT), np.float32), np.zeros((LATENT, 1)), np.zeros(1))
-    k = len(model.sources)
-    members = cut(base.select("doc_id", "text", "source").mapInArrow(_memberships(model, label_error), "doc_id long, n_tokens long, p array<float>"), "members")
-    start = totals(members, k, [])
-    weight = np.array([targets.get(s, 0.0) for s in model.sources]) if targets else start**temper
+    members = cut(base.select("doc_id", "text").mapInArrow(_memberships(model), "doc_id long, n_tokens long, p array<float>"), "members")
+    return _mixed(members, model.sources, targets, temper, max_steps)
+
+
+def _mixed(members: DataFrame, sources: list[str], targets: dict[str, float] | None, temper: float, max_steps: int) -> tuple[DataFrame, dict]:
+    k = len(sources)
+    start, at_y, moved = totals(members, k, [])
+    weight = np.array([targets.get(s, 0.0) for s in sources]) if targets else start**temper
+    all_tokens = max(start.sum(), 1e-300)
     goal = start.sum() * weight / max(weight.sum(), 1e-300)
-    steps, now = [], start
-    for _ in range(MAX_STEPS):
-        if np.abs(now - goal).sum() <= TOLERANCE * max(goal.sum(), 1e-300):
-            break
-        steps.append((now - goal) / np.maximum(start, 1e-300))
-        now = totals(members, k, steps)
-    rated = members.mapInArrow(_rated(steps, k, model.sources), "doc_id long, n_tokens long, domain string, membership double, rate double, expected_tokens double")
-    return rated, {"sources": model.sources, "targets": goal, "totals": now, "steps": len(steps)}
+    floor = np.maximum(start, 1e-300)
+
+    def loss(t: np.ndarray) -> float:
+        return float(((t - goal) ** 2 / floor).sum())
+
+    steps: list[tuple[np.ndarray, int]] = []
+    now, moved, since = start, np.inf, 0
+    while len(steps) < max_steps and np.abs(now - goal).sum() > TOLERANCE * all_tokens and moved > TOLERANCE * all_tokens:
+        since += 1
+        steps.append(((at_y - goal) / floor, since))
+        before = now
+        now, at_y, moved = totals(members, k, steps)
+        if loss(now) > loss(before):  # momentum went too far: the next step starts from r itself
+            since = 0
+            steps[-1] = (steps[-1][0], 0)
+            at_y = now
+    miss = float(np.abs(now - goal).sum() / 2 / all_tokens)
+    rated = members.mapInArrow(_rated(steps, k, sources), "doc_id long, n_tokens long, domain string, membership double, rate double, expected_tokens double")
+    moved = 0.0 if not steps else moved / all_tokens
+    return rated, {"sources": sources, "targets": goal, "totals": now, "steps": len(steps), "miss": miss, "moved": moved, "converged": 2 * miss <= TOLERANCE or moved <= TOLERANCE}
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
