@@ -34,7 +34,6 @@ from sonarmill.llm.splits import held_out
 from sonarmill.session import cut
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 4_000
 THRESHOLD = 0.7
 EVIDENCE = 12.0  # least log-likelihood ratio of a term
 PURITY = 0.9
@@ -195,7 +194,8 @@ class Scanner:
         if len(self.clean) > self.KNOWN:  # before anything is taken from the caches for this text
             self.clean.clear()
             self.hits.clear()
-        tokens = TOKEN.findall(text.lower())
+        lower = text.lower()
+        tokens = TOKEN.findall(lower)
         distinct = set(tokens) - self.clean
         if not distinct:
             return len(tokens), Counter()
@@ -203,16 +203,15 @@ class Scanner:
         hit = distinct & self.hits.keys()
         found: Counter = Counter()
         if hit:
-            seen = list(TOKEN.finditer(text.lower()))
+            seen = list(TOKEN.finditer(lower))
             for k, m in enumerate(seen):
                 if m[0] in hit:
-                    found[(*self.hits[m[0]], self._quoted(text, seen, k))] += 1
+                    found[(*self.hits[m[0]], self._quoted(lower, seen, k))] += 1
         return len(tokens), found
 
     @staticmethod
-    def _quoted(text: str, seen: list, k: int) -> bool:
+    def _quoted(lower: str, seen: list, k: int) -> bool:
         first, last = max(0, k - WINDOW), min(len(seen) - 1, k + WINDOW)
-        lower = text.lower()
         before = lower[seen[first].start() : seen[k].start()]
         after = lower[seen[k].end() : seen[last].end()]
         opened = sum(before.count(q) for q in QUOTES) % 2 == 1 and any(q in after for q in QUOTES)
@@ -248,7 +247,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(TOKEN.findall((text or "").lower()))
-            seen[toxic].update(w for w in words if 3 <= len(w) <= 40)
+            seen[toxic].update(w for w in words if len(w) >= 3)
             seen[toxic].update({w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n})
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], schema=schema)
@@ -259,15 +258,13 @@ def train_sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFram
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     marks = marks.where(~held_out(F.col("doc_id")))
     n = marks.count()
-    share = int(1_000_000 * min(1.0, max_train / max(n, 1)))
+    share = int(1_000_000 * min(1.0, max_train / max(n, 1))) + 1
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "y")  # the sample's bound is max_train
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-
-
     sample = cut(train_sample(docs, labels, max_train), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_tox, n_ok = sizes.get(1, 0), sizes.get(0, 0)
@@ -278,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     p = F.col("tox") / (F.col("tox") + F.col("ok"))
     ratio = F.col("tox") * F.log(p / rate) + F.when(F.col("ok") > 0, F.col("ok") * F.log((1 - p) / (1 - rate))).otherwise(0.0)
     strong = counts.where((F.col("tox") >= 3) & (p >= max(PURITY, (1 + rate) / 2))).withColumn("g", ratio).where(F.col("g") >= EVIDENCE)
-    rows = strong.orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
+    rows = strong.orderBy(F.desc("g"), "term").collect()  # terms of the sample, so max_train bounds them
     prefixes: list[str] = []
     for term in sorted((r["term"][:-1] for r in rows if r["term"].endswith("*")), key=len):
         if not any(term.startswith(q) for q in prefixes):
@@ -310,7 +307,6 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 
 def _training_hits(model: Model):
-
     def run(frames):
         scanner = Scanner(model)
         for frame in frames:
@@ -333,8 +329,8 @@ def _scored(model: Model):
         scanner = Scanner(model)
         for batch in batches:
             scores, hits = [], []
-            for text in batch.column(1):
-                n, found = scanner.scan(text.as_py() or "")
+            for text in batch.column(1).to_pylist():
+                n, found = scanner.scan(text or "")
                 z = sum(a * b for a, b in zip(model.coef, features(n, found, model.weights), strict=True))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 hits.append([{"term": t, "edits": e, "quoted": q, "n": c} for (t, e, q), c in sorted(found.items())])
