@@ -13,9 +13,12 @@
    of a band share a core. Cores that occur once can hold no repeat. The pieces
    of text round the others are dealt by core to shards, and each shard's suffixes are sorted
    with common-prefix values by induced sorting (``induced``), whose queues lie
-   on disk but whose other arrays are held in memory. All pieces with one core
-   are one shard, so a task's memory grows with its largest core. Neighbours with a
-   common prefix of 400 are the repeats.
+   and arrays lie on disk, so a shard may be far larger than memory. Neighbours
+   with a common prefix of 400 are the repeats.
+4. *Hot cores.* A core with over ``HOT_PIECES`` pieces would be one task's shard.
+   Its bands are cut in two, so its pieces part by longer cores; halves that are
+   equal as a whole are settled by a count as in 2. What is still hot is
+   cut again, down to single windows, which a count settles.
 
 Matches never cross a text: pieces are cut at its ends, and a separator that
 stands for no byte keeps a common prefix inside its piece.
@@ -47,6 +50,8 @@ GRAM = 96
 BANDS = 2
 PIECE_SLAB = 1 << 22
 SHARD_BYTES = 24 << 20
+HOT_PIECES = 30_000  # of one core; more are split by longer cores
+HOT = 1000
 
 _POSITION_BITS = 24
 _CHUNK = 1 << 20
@@ -121,7 +126,9 @@ def _bands() -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-PIECE_SCHEMA = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("key", pa.int64()), ("need", pa.bool_()), ("start", pa.int64()), ("piece", pa.binary())])
+PIECE_SCHEMA = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("key", pa.int64()), ("need", pa.bool_()), ("start", pa.int64()), ("lead", pa.int64()), ("o1", pa.int64()), ("o2", pa.int64()), ("piece", pa.binary())])
+PIECE_DDL = "d long, th long, key long, need boolean, start long, lead long, o1 long, o2 long, piece binary"
+HALF_SCHEMA = PIECE_SCHEMA.append(pa.field("hull", pa.int64()))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +150,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if stop - start < WINDOW:
                         continue
                     key = xxhash.xxh3_64_intdigest(data[p - a : p - b + 1 + WINDOW], seed=j) - (1 << 63)
-                    rows.append((d, th, key, item["need"], start, data[start:stop]))
+                    rows.append((d, th, key, item["need"], start, p - start, a, b, data[start:stop]))
                     size += stop - start
             if size > PIECE_SLAB:
                 yield _rows(rows, PIECE_SCHEMA)
@@ -152,6 +159,25 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows, PIECE_SCHEMA)
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece's band cut in two, with longer cores; ``hull`` tells all windows of the half band."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            lead, piece = r["lead"], r["piece"]
+            middle = (r["o1"] + r["o2"]) // 2
+            for x, y in ((r["o1"], middle), (middle, r["o2"])):
+                lo, hi = max(0, lead - y + 1), min(len(piece) - WINDOW, lead - x)
+                if x == y or lo > hi:
+                    continue
+                key = xxhash.xxh3_64_intdigest(piece[lead - x : lead - y + 1 + WINDOW], seed=x << 16 | y) - (1 << 63)
+                part = piece[lo : hi + WINDOW]
+                hull = xxhash.xxh3_64_intdigest(part, seed=lead - lo) - (1 << 63)
+                rows.append((r["d"], r["th"], key, r["need"], r["start"] + lo, lead - lo, x, y, part, hull))
+        if rows:
+            yield _rows(rows, HALF_SCHEMA)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -159,50 +185,61 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 SPAN_SCHEMA = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
+PIECE = np.dtype([("at", np.int64), ("size", np.int64), ("d", np.int64), ("th", np.int64), ("start", np.int64), ("need", np.bool_)])
+SPAN_ROWS = 50_000
+
+
 class _Shard:
-    """Pieces gathered in a file of the task's scratch folder, then sorted."""
+    """Pieces gathered in files of the task's scratch folder, then sorted. Memory holds chunks only."""
 
     def __init__(self) -> None:
-        self.file = tempfile.TemporaryFile()
-        self.meta: list[tuple] = []
-        self.symbols = 0
+        self.text, self.meta = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.symbols = self.pieces = 0
 
     def add(self, d, th, need, start, piece: bytes) -> None:
         symbols = np.frombuffer(piece + b"\0", np.uint8).astype(np.uint16) + 2
         symbols[-1] = 1  # stands for no byte
-        symbols.tofile(self.file)
-        self.meta.append((self.symbols, len(piece), d, th, need, start))
+        symbols.tofile(self.text)
+        np.array([(self.symbols, len(piece), d, th, start, need)], PIECE).tofile(self.meta)
         self.symbols += len(symbols)
-
-    def spans(self) -> list[tuple]:
-        if len(self.meta) < 2:
-            return []
-        self.file.flush()
-        text = np.memmap(self.file, np.uint16, "r", shape=(self.symbols,))
-        repeated = np.zeros(self.symbols, bool)
-        last = 0
+        self.pieces += 1
+
+    def spans(self) -> Iterator[pa.RecordBatch]:
+        if self.pieces < 2:
+            return
+        self.text.flush()
+        self.meta.flush()
+        text = np.memmap(self.text, np.uint16, "r", shape=(self.symbols,))
+        meta = np.memmap(self.meta, PIECE, "r", shape=(self.pieces,))
         with Sorter(WINDOW) as sorter:
+            repeated = sorter.mapped(np.uint8, self.symbols)
+            last = 0
             for places, lcp in sorter.sort(text):
                 hit = lcp >= WINDOW
-                repeated[places[hit]] = True
-                repeated[np.concatenate(([last], places[:-1]))[hit]] = True
+                for at in (places[hit], np.append(last, places[:-1])[hit]):
+                    repeated.put(at, np.ones(len(at), np.uint8))
                 last = int(places[-1])
-        del text
-        at = np.array([m[0] for m in self.meta])
+            for a in range(0, self.pieces, SPAN_ROWS):
+                part = np.array(meta[a : a + SPAN_ROWS])
+                rows = self._spans_of(part, repeated.part(int(part["at"][0]), int(part["at"][-1] + part["size"][-1]) + 1))
+                if rows:
+                    yield _rows(rows, SPAN_SCHEMA)
+
+    @staticmethod
+    def _spans_of(part: np.ndarray, repeated: np.ndarray) -> list[tuple]:
+        """Runs of repeated windows in some consecutive pieces."""
+        at = part["at"] - part["at"][0]
         starts = np.flatnonzero(repeated)
         piece = np.searchsorted(at, starts, "right") - 1
-        size = np.array([m[1] for m in self.meta])
-        whole = starts + WINDOW <= at[piece] + size[piece]  # others run into a separator
+        whole = (starts + WINDOW <= at[piece] + part["size"][piece]) & part["need"][piece]  # others run into a separator
         starts, piece = starts[whole], piece[whole]
         if not len(starts):
             return []
-        new = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (starts[1:] != starts[:-1] + 1))))
-        out = []
-        for a, b in zip(new.tolist(), np.append(new[1:] - 1, len(starts) - 1).tolist(), strict=True):
-            begin, _, d, th, need, start = self.meta[piece[a]]
-            if need:
-                out.append((d, th, start + int(starts[a]) - begin, start + int(starts[b]) - begin + WINDOW))
-        return out
+        new = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (starts[1:] != starts[:-1] + 1)))
+        last = np.append(new[1:] - 1, len(starts) - 1)
+        of = part[piece[new]]
+        begin = of["start"] - at[piece[new]]
+        return list(zip(of["d"].tolist(), of["th"].tolist(), (begin + starts[new]).tolist(), (begin + starts[last] + WINDOW).tolist(), strict=True))
 
 
 def _shard_spans(shard_bytes: int):
@@ -211,13 +248,11 @@ def _shard_spans(shard_bytes: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if shard.symbols > shard_bytes and row["key"] != before:
-                    if spans := shard.spans():
-                        yield _rows(spans, SPAN_SCHEMA)
+                    yield from shard.spans()
                     shard = _Shard()
                 before = row["key"]
                 shard.add(row["d"], row["th"], row["need"], row["start"], row["piece"])
-        if spans := shard.spans():
-            yield _rows(spans, SPAN_SCHEMA)
+        yield from shard.spans()
 
     return run
 
@@ -252,34 +287,50 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows, RESULT_SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` whose key is in ``keys`` (unique, with n, the key's rows); a key with over a thousandth of all rows is dealt to several tasks.
+
+    Fewer than 1000 keys can be that frequent, so these are broadcast.
+    """
+    parts = F.ceil(F.col("n") * HOT / F.lit(max(total, 1)))
+    hot = keys.where(F.col("n") * HOT > total).select(*on, parts.alias("parts"))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("d", "place"), "parts"), F.lit(0)))
+    right = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.when(F.col("n") * HOT > total, parts).otherwise(1), F.lit(1)) - 1)).alias("part"))
+    return left.join(right, [*on, "part"], "left_semi").drop("part", "parts")
+
+
+def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte runs of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"))
     anchors = cut(base.where(F.octet_length("data") >= WINDOW).select("d", "th", "data").mapInArrow(_anchor_rows, "d long, th long, place long, lo long, hi long, h long, c long"), "anchors")
-    common = anchors.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("open")).where("n > 1").drop("n")
-    shared = cut(anchors.join(common, "h"), "shared")
-
-    around = cut(
-        shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("open").alias("open"), *[F.first(x).alias(x) for x in ("d", "th", "place", "lo", "hi")]),
-        "around",
-    )
-    settled = shared.where("not open").select("d", "th", "lo", "hi").union(
-        shared.where("open").join(around.where("open and n > 1").select("h", "c"), ["h", "c"]).select("d", "th", "lo", "hi")
-    )
-    settled = settled.select("d", "th", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("stop"))
-
-    wanting = around.where("open and n = 1").select("h").distinct()
-    members = around.where("open").join(wanting, "h", "left_semi").select("d", "th", F.struct("place", "lo", "hi", (F.col("n") == 1).alias("need")).alias("a"))
+    around = cut(anchors.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("d", "th", "place", "lo", "hi")]), "around")
+    again = around.where("n > 1").select("h", "c", "n")
+    settled = _dealt_join(anchors, again, ["h", "c"], anchors.count()).select("d", "th", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("stop"))
+
+    wanting = around.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", F.col("k").alias("n"))
+    members = _dealt_join(around.withColumnRenamed("n", "times"), wanting, ["h"], around.count()).select("d", "th", F.struct("place", "lo", "hi", (F.col("times") == 1).alias("need")).alias("a"))
     of_text = members.groupBy("d", "th").agg(F.collect_list("a").alias("a"))
     once = base.select("d", "th", "data").join(of_text, ["d", "th"])
-    pieces = cut(once.select("d", "th", "data", "a").mapInArrow(_pieces, "d long, th long, key long, need boolean, start long, piece binary"), "pieces")
-    cores = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("need").alias("any")).where("n > 1 and any").select("key")
-    dealt = pieces.join(cores, "key").select("key", "d", "th", "need", "start", "piece").repartition("key").sortWithinPartitions("key", "d", "start")
-    found = dealt.mapInArrow(_shard_spans(shard_bytes), "d long, th long, start long, stop long")
-
-    spans = cut(settled.union(found).distinct(), "spans").groupBy("d", "th").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    pieces = cut(once.select("d", "th", "data", "a").mapInArrow(_pieces, PIECE_DDL), "pieces")
+    found = settled
+    while True:
+        cores = cut(pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("need").alias("any")).where("n > 1 and any").select("key", "n"), "cores")
+        dealt = pieces.join(cores.where(F.col("n") <= hot_pieces), "key", "left_semi").select("key", "d", "th", "need", "start", "piece").repartition("key").sortWithinPartitions("key", "d", "start")
+        found = found.union(dealt.mapInArrow(_shard_spans(shard_bytes), "d long, th long, start long, stop long"))
+        hot = cores.where(F.col("n") > hot_pieces)
+        if hot.isEmpty():
+            break
+        halves = cut(_dealt_join(pieces.withColumn("place", F.col("start")), hot, ["key"], pieces.count()).drop("place").mapInArrow(_halves, PIECE_DDL + ", hull long"), "halves")
+        groups = cut(halves.groupBy("key", "hull").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("d", "th", "need", "start", "lead", "o1", "o2", "piece")]), "groups")
+        wanted = halves.where("need").withColumn("place", F.col("start"))
+        again = _dealt_join(wanted, groups.where("n > 1").select("key", "hull", "n"), ["key", "hull"], halves.count())
+        found = found.union(again.select("d", "th", "start", (F.col("start") + F.octet_length("piece")).alias("stop")))
+        # A band of one offset has one window, so its count has settled it.
+        pieces = groups.where("o2 - o1 > 1").withColumn("need", F.col("need") & (F.col("n") == 1)).select(*PIECE_SCHEMA.names)
+
+    spans = cut(found.distinct(), "spans").groupBy("d", "th").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
     rows = base.join(spans, ["d", "th"], "left").select("doc_id", "data", "s")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, stop: long>>")
 
