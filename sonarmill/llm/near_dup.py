@@ -44,10 +44,10 @@ from sonarmill.session import cut, free
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-DIGEST = 320  # registers of the digest that estimates use
-LEAD, TAIL = 5, 6  # bits of a digest's register: lead count (31 stands for more) and mantissa
+DIGEST, GLANCE = 448, 112  # registers of the digest that estimates use, and those of a first look
+LEAD, TAIL = 5, 3  # bits of a digest's register: lead count (31 stands for more) and mantissa
 LANE = LEAD + TAIL + 1  # one bit to spare: the sum of two lanes stays inside
-LANES = 5
+LANES = 7
 CHANCE = 0.18034 / (1 << TAIL)  # that registers of two unlike sets of one size agree: the integral of density squared times cell width
 SURE = 4.5  # standard deviations allowed below an expectation before a pair is let go
 PIVOTS = 3
@@ -106,11 +106,15 @@ def may_reach(percent: int) -> str:
     corrected for that may be SURE standard deviations below the threshold.
     """
     j = percent / 100
-    least = j - SURE * (j * (1 - j) / DIGEST) ** 0.5
     ones, tops = (sum(v << (LANE * k) for k in range(LANES)) for v in ((1 << LANE - 1) - 1, 1 << LANE - 1))
-    differ = " + ".join(f"bit_count(((x.d[{k}] ^ y.d[{k}]) + {ones}L) & {tops}L)" for k in range(DIGEST // LANES))
     c = f"({CHANCE!r}D * 4D * x.n * y.n / (double(x.n + y.n) * double(x.n + y.n)))"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {DIGEST} - ({differ}) >= {DIGEST} * ({c} + {least!r}D * (1D - {c}))"
+
+    def reached(registers: int) -> str:
+        least = j - SURE * (j * (1 - j) / registers) ** 0.5
+        differ = " + ".join(f"bit_count(((x.d[{k}] ^ y.d[{k}]) + {ones}L) & {tops}L)" for k in range(registers // LANES))
+        return f"{registers} - ({differ}) >= {registers} * ({c} + {least!r}D * (1D - {c}))"
+
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {reached(GLANCE)} and {reached(DIGEST)}"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +225,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Buckets that still hold different components: pairs between these. A large bucket's members are dealt to several tasks.
     marked = shared.where("size > 2").join(joined, "id", "left").select("key", "band", "size", "id", F.coalesce("component", "id").alias("c"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = cut(marked.join(mixed, "key", "left_semi").join(digests, "id").withColumn("parts", F.ceil(F.col("size") / SPLIT).cast("int")), "open")
-    one = open_rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    open_rows = cut(marked.join(mixed, "key", "left_semi").join(digests, "id").withColumn("parts", F.ceil(F.col("size") / SPLIT).cast("int")).withColumn("hid", F.xxhash64("id")).withColumn("hc", F.xxhash64("c")).drop("c"), "open")
+    one = open_rows.withColumn("part", F.pmod("hid", "parts").cast("int"))
     every = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    between = one.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key and x.part = y.part and x.id < y.id and x.c <> y.c and {may_reach(percent)} and {first_common()}"))
-    more = cut(between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(stars, ["a", "b"], "left_anti"), "between")
+    between = one.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key and x.part = y.part and x.hid < y.hid and x.hc <> y.hc and {may_reach(percent)} and {first_common()}"))
+    more = cut(between.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).join(stars, ["a", "b"], "left_anti"), "between")
     second = _links(more, texts, percent)
     links = first.union(second).select("a", "b")
     found = cut(components(links.union(same)), "joined")

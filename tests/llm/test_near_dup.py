@@ -105,6 +105,11 @@ def test_registers_of_unlike_sets_agree_as_often_as_the_correction_says():
     assert abs(agree / tried - expected) < 5 * (expected / tried) ** 0.5
 
 
+def glance(d):
+    k = near_dup.GLANCE
+    return (equal_registers(*(x[: k // near_dup.LANES] for x in d)) / k - near_dup.CHANCE) / (1 - near_dup.CHANCE)
+
+
 def test_condition_in_sql_is_the_estimate(spark):
     rng = np.random.default_rng(5)
     pool = rng.integers(1, 2**63, 4000, dtype=np.uint64)
@@ -114,7 +119,7 @@ def test_condition_in_sql_is_the_estimate(spark):
         d = [near_dup.digest_of(near_dup.sketch(s, near_dup.DIGEST)) for s in (x, y)]
         c = near_dup.CHANCE
         least = 0.8 - near_dup.SURE * (0.8 * 0.2 / near_dup.DIGEST) ** 0.5
-        want.append((equal_registers(*d) / near_dup.DIGEST - c) / (1 - c) >= least)
+        want.append((equal_registers(*d) / near_dup.DIGEST - c) / (1 - c) >= least and glance(d) >= 0.8 - near_dup.SURE * (0.8 * 0.2 / near_dup.GLANCE) ** 0.5)
         rows.append((shift, (1000, d[0]), (1000, d[1])))
     kind = "struct<n: long, d: array<long>>"
     got = spark.createDataFrame(rows, f"k int, x {kind}, y {kind}").selectExpr("k", near_dup.may_reach(80) + " as ok").orderBy("k").collect()
