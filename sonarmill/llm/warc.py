@@ -1,10 +1,11 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-The writer builds records with SQL functions and hands them to Spark's text
-writer, whose line separator is the blank line that ends a record; the files
-are therefore committed, compressed and placed like any other Spark output. An
-archive holds at most ``records_per_archive`` records, so that one archive
-fits in one reading task.
+The writer builds records with SQL functions, compresses each to a gzip member of
+its own, so that damage costs one record, and hands the members to Spark's text
+writer as lines; the line separator is an empty gzip member. The files
+are therefore committed and placed like any other Spark output, and any
+gzip reader reads them. An archive holds at most ``records_per_archive`` records,
+so that one archive fits in one reading task.
 
 The reader walks an archive record by record. A record is taken only if its
 version line, header block, length, closing blank lines and payload digest
@@ -16,6 +17,7 @@ from there, and logs the bytes between as a quarantined gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -32,6 +34,9 @@ from sonarmill.session import fresh_path
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = b"WARC/1."
+#: The first bytes of a gzip member, and a whole member without content.
+MAGIC = b"\x1f\x8b\x08"
+EMPTY = b"\x1f\x8b\x08\0\0\0\0\0\0\x03" + b"\x03\0" + b"\0" * 8
 
 RECORDS_PER_ARCHIVE = 2000
 
@@ -112,9 +117,12 @@ def salvage_plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """As ``salvage_plain``, also for gzip members; offsets inside a member count from the member's start."""
-    if data[:2] != b"\x1f\x8b":
-        nxt = data.find(b"\x1f\x8b\x08")
-        if not data or data[: len(VERSION)] == VERSION or nxt < 0 or _member(data, nxt) is None:
+    if data[:3] != MAGIC:
+        # Compressed data with a damaged start, if some later member is whole and opens a record.
+        at = -1 if data[: len(VERSION)] == VERSION else data.find(MAGIC)
+        while at >= 0 and ((member := _member(data, at)) is None or member[0][: len(VERSION)] != VERSION):
+            at = data.find(MAGIC, at + 1)
+        if at < 0:
             yield from salvage_plain(data)
             return
     at = 0
@@ -126,7 +134,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             continue
         bad, partial = at, _partial(data, at)
         while True:
-            at = data.find(b"\x1f\x8b\x08", at + 1)
+            at = data.find(MAGIC, at + 1)
             if at < 0:
                 at = len(data)
                 break
@@ -141,32 +149,50 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """A whole gzip member and the offset after it."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
+    """A whole gzip member and the offset after it; what follows is not copied."""
+    if data[at : at + 3] != MAGIC:
         return None
-    unzip = zlib.decompressobj(31)
-    try:
-        out = unzip.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    if not unzip.eof:
-        return None
-    return out, len(data) - len(unzip.unused_data)
+    unzip, out, view, size = zlib.decompressobj(31), [], memoryview(data), 1024
+    while at < len(data):
+        part = view[at : at + size]
+        try:
+            out.append(unzip.decompress(part))
+        except zlib.error:
+            return None
+        at += len(part)
+        if unzip.eof:
+            return b"".join(out), at - len(unzip.unused_data)
+        size = min(2 * size, 1 << 20)
+    return None
 
 
 def _partial(data: bytes, at: int) -> bytes:
-    """What can be decompressed before the damage."""
+    """What can be decompressed before the damage, to the byte."""
     unzip, out = zlib.decompressobj(31), []
-    try:
-        for k in range(at, len(data), 4096):
-            out.append(unzip.decompress(data[k : k + 4096]))
-            if unzip.eof:
-                break
-    except zlib.error:
-        pass
+    for k in range(at, len(data), 4096):
+        block, kept = data[k : k + 4096], unzip.copy()
+        try:
+            out.append(unzip.decompress(block))
+        except zlib.error:
+            try:
+                for j in range(len(block)):
+                    out.append(kept.decompress(block[j : j + 1]))
+            except zlib.error:
+                pass
+            break
+        if unzip.eof:
+            break
     return b"".join(out)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without name or time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200).column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(r, 6, mtime=0) for r in part], pa.binary())], names=["value"])
+
+
 def base32_of_hex(digest: Column) -> Column:
     """The bare upper-case base32 of a SHA-1 in hex, with SQL functions only."""
     parts = []
@@ -213,9 +239,10 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, reco
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     )
-    record = F.concat(header, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n"))
+    record = F.concat(header, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n")).cast("binary")
     out = rows.withColumn("revisit", revisit).withColumn("http", http).withColumn("block", block).select(record.alias("value"))
-    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+    members = out.mapInArrow(_compressed, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 READ_SCHEMA = "path string, kind string, start long, stop long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"

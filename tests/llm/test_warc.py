@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import random
+import time
 
 import duckdb
 import pandas as pd
@@ -68,6 +70,44 @@ def test_round_trip_with_revisits_and_odd_rows(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_salvage_searches_all_members_and_keeps_what_precedes_damage():
+    members = [gzip.compress(record(k, b"x%d" % k * 300)) for k in range(5)]
+    names = [f"<urn:page:{k}>" for k in range(5)]
+    hurt = [bytearray(m) for m in members]
+    hurt[0][0] ^= 1
+    hurt[1][3 * len(members[1]) // 4] ^= 0xFF
+    got = kinds(b"".join(map(bytes, hurt)))
+    assert got[-3:] == names[2:] and got[0][0] == "gap"
+    rng = random.Random(1)
+    many = b"".join(record(k, bytes(rng.randrange(256) for _ in range(300))) for k in range(40))
+    packed = bytearray(gzip.compress(many))
+    packed[len(packed) * 9 // 10] ^= 0xFF
+    whole = [k for k in kinds(bytes(packed)) if isinstance(k, str)]
+    assert len(whole) >= 33 and whole == [f"<urn:page:{k}>" for k in range(len(whole))]
+
+
+def test_reading_many_members_is_linear():
+    def seconds(n):
+        data = b"".join([gzip.compress(record(1, b"abc")) + warc.EMPTY] * n)
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.salvage(data)) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 20 * max(seconds(2_000), 0.02)
+
+
+def test_archives_are_gzip_with_a_member_a_record(spark):
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([(k, "u", f"page {k} é") for k in range(7)], "page_id long, url string, html string").coalesce(1), path)
+    files = spark.read.format("binaryFile").load(path).collect()
+    data = bytes(files[0]["content"])
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 7
+    hurt = bytearray(data)
+    hurt[len(data) // 2] ^= 0xFF
+    assert sum(isinstance(i, warc.Record) for i in warc.salvage(bytes(hurt))) == 6
+
+
 def test_minimum_size_of_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     path = fresh_path(spark, "warc-test")
