@@ -44,6 +44,7 @@ from sonarmill.llm.textnum import slabs, word_spans
 from sonarmill.session import cut
 
 MAX_TRAIN = 4000
+SENT_SOURCES = 100_000  # rows of a source and a number that may be broadcast
 TEMPER = 0.5  # default targets: token shares to this power
 MAX_STEPS = 60
 TOLERANCE = 1e-4  # share of all tokens
@@ -100,9 +101,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(packed, pa.binary())], names=["source", "counts"])
 
 
-def spark_map(like: DataFrame, shares: dict[str, int]) -> DataFrame:
-    """(source, share) as a table of one row a source."""
-    return like.sparkSession.createDataFrame(list(shares.items()), "source string, share long")
+def _share_table(like: DataFrame, shares: dict[str, int]) -> DataFrame:
+    """(source, share) as a table of one row a source; it is sent to the tasks unless the sources are very many."""
+    table = like.sparkSession.createDataFrame(list(shares.items()), "source string, share long")
+    return F.broadcast(table) if len(shares) <= SENT_SOURCES else table
 
 
 def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
@@ -111,7 +113,7 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     if not sizes:
         return None
     each = max(1, max_train // len(sizes))
-    shares_of = spark_map(docs, {source: int(1_000_000 * min(1.0, each / n)) + 1 for source, n in sizes.items()})
+    shares_of = _share_table(docs, {source: int(1_000_000 * min(1.0, each / n)) + 1 for source, n in sizes.items()})
     chosen = rows.join(shares_of, "source").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < F.col("share"))).limit(2 * max_train + len(sizes))
     got = chosen.select("text", "source").mapInArrow(_featured, "source string, counts binary").toPandas()
     sources = sorted(sizes)
