@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -91,7 +93,7 @@ def test_adds_written_variants_and_few_others(network):
         want = {(k, *s) for k in pii.KINDS for s in spans[k]}
         own, more = ({(k, *s) for k in pii.KINDS for s in x[k]} for x in (b, a))
         gold, base, found, false = gold + len(want), base + len(want & own), found + len(want & (own | more)), false + len(more - want)
-    assert found > base + 0.4 * (gold - base) and false < 0.1 * gold
+    assert found >= base + 0.9 * (gold - base) and false < 0.1 * gold
 
 
 def test_windows_agree_wherever_a_span_lies(network):
@@ -101,7 +103,7 @@ def test_windows_agree_wherever_a_span_lies(network):
         text = "la " * pad + "write to someone (at) mail7.example.com today " + "la " * 60
         _, added = finder.spans([text])[0]
         spans[pad] = {(k, text[a:b]) for k in pii.KINDS for a, b in added[k]}
-    assert sum(("email", "someone (at) mail7.example.com") in s for s in spans.values()) > 0.6 * len(spans)
+    assert sum(("email", "someone (at) mail7.example.com") in s for s in spans.values()) >= 0.9 * len(spans)
     assert all(len(s) <= 1 for s in spans.values())
 
 
@@ -130,3 +132,30 @@ def test_dense_texts_lose_no_span_to_seams(network):
     assert len(added["email"]) == 60
     assert pii.stretches("") == [] and pii.stretches("la la") == []
     assert finder.spans(["0" * 3000])[0][1] == {k: [] for k in pii.KINDS}
+
+
+#: The contract's patterns as they stand, with nothing to make them linear.
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+
+
+def test_linear_patterns_match_as_the_plain_ones_do():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1.@-_% ") if rng.random() < 0.8 else rng.choice(["a@b.c", "1.2.3.4", "..", "@@", "255.300"]) for _ in range(rng.randint(1, 24)))
+        got = pii.base_spans(text)
+        assert got["email"] == [m.span() for m in re.finditer(PLAIN["email"], text)], text
+        assert got["ip"] == [m.span() for m in re.finditer(PLAIN["ip"], text) if all(int(p) <= 255 for p in m[0].split("."))], text
+
+
+@pytest.mark.parametrize("run", ["a", "7", "a.", "1.", "+1", "@", "a@", "1 ", "("])
+def test_one_long_run_takes_linear_time(run):
+    text = run * (1_000_000 // len(run)) + " x@y"
+    start = time.perf_counter()
+    pii.base_spans(text)
+    assert time.perf_counter() - start < 1
+
+
+def test_one_long_run_of_digits_is_no_work_for_the_network(network):
+    start = time.perf_counter()
+    assert pii.Finder(network).spans(["1234567890" * 100_000])[0][1] == {k: [] for k in pii.KINDS}
+    assert time.perf_counter() - start < 2
