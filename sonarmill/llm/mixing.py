@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sonarmill.llm.language import WIDTH, gram_counts
 from sonarmill.llm.textnum import slabs, word_spans
@@ -51,6 +52,10 @@ TOLERANCE = 1e-4  # share of all tokens
 LATENT = 96
 
 
+ADDED = ("n_tokens", "domain", "membership", "rate", "expected_tokens")
+ADDED_DDL = "n_tokens long, domain string, membership double, rate double, expected_tokens double"
+
+
 @dataclass
 class Model:
     sources: list[str]
@@ -134,7 +139,7 @@ def _memberships(model: Model):
                 p = softmax(_latent(counts, model.project) @ model.coef + model.bias)
                 flat = pa.array(p.astype(np.float32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), lists], names=["doc_id", "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), lists], names=["kept", "n_tokens", "p"])
 
     return run
 
@@ -188,26 +193,32 @@ def _rated(steps: list[tuple[np.ndarray, int]], k: int, sources: list[str]):
             best = p.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([sources[j] for j in best], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(r), pa.array(r * batch.column(1).to_numpy())],
-                names=["doc_id", "n_tokens", "domain", "membership", "rate", "expected_tokens"],
+                names=["kept", *ADDED],
             )
 
     return run
 
 
-def mix(docs: DataFrame, targets: dict[str, float] | None = None, temper: float = TEMPER, max_train: int = MAX_TRAIN, max_steps: int = MAX_STEPS) -> tuple[DataFrame, dict]:
-    """(doc_id, n_tokens, domain, membership, rate, expected_tokens) of every row, and the fit.
+def mix(docs: DataFrame, targets: dict[str, float] | None = None, temper: float = TEMPER, max_train: int = MAX_TRAIN, max_steps: int = MAX_STEPS, keep: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """n_tokens, domain, membership, rate, expected_tokens of every row behind its ``keep`` columns (doc_id), and the fit.
 
     ``targets`` are weights by source (missing: 0); by default each source's
     token share to the power ``temper``. Expected totals add up to the tokens there are.
     The fit tells sources, targets, totals, steps, ``miss`` (share of tokens in the wrong source),
     ``moved`` (share of tokens by which the last step moved rates) and ``converged`` (either is within TOLERANCE).
+    A kept column named like an added one gives way to it.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    kept = [c for c in (keep or ["doc_id"]) if c not in ADDED]
+    own = F.struct(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in kept]).alias("kept")
+    base = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     model = learn(base, max_train)
     if model is None:
         model = Model([""], np.zeros((WIDTH, LATENT), np.float32), np.zeros((LATENT, 1)), np.zeros(1))
-    members = cut(base.select("doc_id", "text").mapInArrow(_memberships(model), "doc_id long, n_tokens long, p array<float>"), "members")
-    return _mixed(members, model.sources, targets, temper, max_steps)
+    rows = base.select("kept", "text")
+    schema = StructType([rows.schema["kept"], *StructType.fromDDL("n_tokens long, p array<float>").fields])
+    members = cut(rows.mapInArrow(_memberships(model), schema), "members")
+    rated, fit = _mixed(members, model.sources, targets, temper, max_steps)
+    return rated.select("kept.*", *ADDED), fit
 
 
 def _mixed(members: DataFrame, sources: list[str], targets: dict[str, float] | None, temper: float, max_steps: int) -> tuple[DataFrame, dict]:
@@ -233,7 +244,8 @@ def _mixed(members: DataFrame, sources: list[str], targets: dict[str, float] | N
             steps[-1] = (steps[-1][0], 0)
             at_y = now
     miss = float(np.abs(now - goal).sum() / 2 / all_tokens)
-    rated = members.mapInArrow(_rated(steps, k, sources), "doc_id long, n_tokens long, domain string, membership double, rate double, expected_tokens double")
+    schema = StructType([members.schema["kept"], *StructType.fromDDL(ADDED_DDL).fields])
+    rated = members.mapInArrow(_rated(steps, k, sources), schema)
     moved = 0.0 if not steps else moved / all_tokens
     return rated, {"sources": sources, "targets": goal, "totals": now, "steps": len(steps), "miss": miss, "moved": moved, "converged": 2 * miss <= TOLERANCE or moved <= TOLERANCE}
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from sonarmill.llm import mixing
 
@@ -30,7 +31,7 @@ def test_a_rows_own_source_is_no_input_of_its_membership(spark):
     docs = told_apart(spark)
     model = mixing.learn(docs)
     other = docs.selectExpr("doc_id", "text", "'s0' as source")
-    both = [[list(r) for r in d.select("doc_id", "text").mapInArrow(mixing._memberships(model), "doc_id long, n_tokens long, p array<float>").orderBy("doc_id").collect()] for d in (docs, other)]
+    both = [[list(r) for r in d.select("doc_id", "text").mapInArrow(mixing._memberships(model), "kept long, n_tokens long, p array<float>").orderBy("kept").collect()] for d in (docs, other)]
     assert both[0] == both[1]
     rated = {r["doc_id"]: r["domain"] for r in mixing.mix(docs)[0].collect()}
     known = {r["doc_id"]: r["source"] for r in docs.collect() if r["source"]}
@@ -43,7 +44,7 @@ def test_distributed_fit_equals_brute_force(spark):
     p = rng.dirichlet(np.ones(4) * 0.5, 150)
     p = p.astype(np.float32).astype(np.float64)
     tokens = rng.integers(0, 400, 150)
-    members = spark.createDataFrame([(k, int(t), [float(v) for v in q]) for k, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p array<float>").repartition(3)
+    members = spark.createDataFrame([(k, int(t), [float(v) for v in q]) for k, (t, q) in enumerate(zip(tokens, p, strict=True))], "kept long, n_tokens long, p array<float>").repartition(3)
     targets = {"a": 1.0, "b": 6.0, "c": 2.0, "d": 0.5}
     rated, fit = mixing._mixed(members, list("abcd"), targets, 0.5, 60)
     start = tokens @ p
@@ -52,17 +53,17 @@ def test_distributed_fit_equals_brute_force(spark):
     for _ in range(20_000):
         r = np.maximum(0, r - p @ (((r * tokens) @ p - goal) / start))
     best = ((((r * tokens) @ p - goal) ** 2) / start).sum()
-    got = np.array([x["rate"] for x in rated.orderBy("doc_id").collect()])
+    got = np.array([x["rate"] for x in rated.orderBy("kept").collect()])
     loss = ((((got * tokens) @ p - goal) ** 2) / start).sum()
     assert got.min() >= 0 and loss - best < 1e-4 * start.sum()
     assert np.allclose((got * tokens) @ p, fit["totals"], rtol=1e-4)
 
 
 def test_a_fit_that_cannot_reach_its_targets_says_so(spark):
-    members = spark.createDataFrame([(k, 100, [0.5, 0.5]) for k in range(20)], "doc_id long, n_tokens long, p array<float>")
+    members = spark.createDataFrame([(k, 100, [0.5, 0.5]) for k in range(20)], "kept long, n_tokens long, p array<float>")
     _, fit = mixing._mixed(members, ["a", "b"], {"a": 1.0, "b": 0.0}, 0.5, 60)
     assert fit["miss"] > 0.4 and fit["steps"] < 60
-    _, short = mixing._mixed(members.selectExpr("doc_id", "n_tokens", "array(float(doc_id / 20), float(1 - doc_id / 20)) as p"), ["a", "b"], {"a": 1.0, "b": 3.0}, 0.5, 1)
+    _, short = mixing._mixed(members.selectExpr("kept", "n_tokens", "array(float(kept / 20), float(1 - kept / 20)) as p"), ["a", "b"], {"a": 1.0, "b": 3.0}, 0.5, 1)
     assert not short["converged"]
 
 
@@ -100,5 +101,8 @@ def test_odd_rows(odd, nothing):
     assert fit["sources"] == ["a", "b", "c"]
     assert {r["doc_id"]: r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3, 4)} == {1: 0, 2: 0, 3: 0, 4: 7}
     assert mixing.mix(nothing)[0].count() == 0
+    whole = mixing.mix(odd.withColumn("rate", F.lit("x")), keep=[*odd.columns, "rate"])[0]
+    assert whole.columns == [*odd.columns, *mixing.ADDED] and whole.count() == odd.count()
+    assert whole.where("text is null and doc_id = 1 and rate >= 0").count() == 1
     alone = mixing.mix(odd.drop("source").selectExpr("*", "cast(null as string) as source"))[0].collect()
     assert all(abs(r["rate"] - 1) < 1e-9 for r in alone)
