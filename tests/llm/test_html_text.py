@@ -1,6 +1,8 @@
 import html as entities
 import re
 
+from pyspark.sql import functions as F
+
 from sonarmill.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><p>tagline</p></header>
@@ -39,6 +41,19 @@ def test_consensus_overrules_a_page(spark):
     assert h.extract(pages.limit(0)).count() == 0
 
 
+def test_long_and_repeated_pages_and_ties_of_paths(spark):
+    long = "<html><body><article><p>" + "words in a very long page. " * 40_000 + "</p></article></body></html>"
+    one, two = (f"<html><body><div class='{c}'><p>{'some real words, told at length. ' * 8}</p></div></body></html>" for c in ("alpha", "beta"))
+    rows = [(1, "http://a.example", long), (2, "http://a.example", long), (2, "http://a.example", long), (3, "http://b.example", one), (4, "http://b.example", two), (None, None, one)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["n_chars"], len(r["text"])) for r in h.extract(pages).collect()), key=str)
+    n, m = len("words in a very long page. " * 40_000) - 1, len("some real words, told at length. " * 8) - 1
+    assert got == sorted([(1, n, n), (2, n, n), (2, n, n), (3, m, m), (4, m, m), (None, m, m)], key=str)
+    paths = {r["host"]: r["path"] for r in h.host_paths(pages.selectExpr("*", "coalesce(url, '') as host")).collect()}
+    again = {r["host"]: r["path"] for r in h.host_paths(pages.orderBy(F.desc("page_id")).selectExpr("*", "coalesce(url, '') as host")).collect()}
+    assert paths == again  # of tied paths the least by name
+
+
 def test_supplied_pages(spark, small):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in h.op1_main_text(spark, small).collect():
