@@ -13,11 +13,12 @@ the tuple before it), and the common prefix of two arrivals is one more than the
 least over the scan between them.
 
 Text, classes, LMS places, names, ranks, tuples and orders all lie in files of a
-scratch folder that belongs to the running task alone and goes when it ends. In
-memory are at most ``memory_symbols`` tuples of a queue set or of an external
+scratch folder that belongs to the running task alone and goes when it ends; only
+arrays up to ``resident`` bytes stay in memory. Beside these (some twenty at a time) there are
+at most ``memory_symbols`` tuples of a queue set or of an external
 sort, ``alphabet`` queue heads and chunks. Files are read in chunks or through
-maps whose pages are given back: a file over ``resident`` bytes is visited in
-portions that touch no more than that. So memory doesn't grow with the text
+maps whose pages are given back: they are visited in
+portions that touch no more than ``resident`` bytes. So memory doesn't grow with the text
 (the test lets it grow tenfold). Common prefixes are capped at ``depth``;
 suffixes equal that far may come in any order.
 """
@@ -37,15 +38,19 @@ PAGES = 16  # that the system maps round a touched one
 
 
 class Mapped:
-    """An array in a file without a name. Reads are copies."""
+    """An array in a file without a name, or in memory if it is small. Reads are copies."""
 
     def __init__(self, folder: str, dtype, n: int, resident: int):
+        self.n, self.step = n, 0
+        if max(n, 1) * np.dtype(dtype).itemsize <= resident:
+            self.view = np.zeros(max(n, 1), dtype)
+            return
         fd, path = tempfile.mkstemp(dir=folder)
         os.close(fd)
-        self.n, self.map = n, np.memmap(path, dtype, "w+", shape=(max(n, 1),))
+        self.map = np.memmap(path, dtype, "w+", shape=(n,))
         os.unlink(path)
         self.view = np.asarray(self.map)
-        self.step = max(64, resident // (PAGES * mmap.PAGESIZE)) if self.map.nbytes > resident else 0
+        self.step = max(64, resident // (PAGES * mmap.PAGESIZE))
 
     def release(self) -> None:
         if self.step:
@@ -205,7 +210,7 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 class Sorter:
     """Sorts the suffixes of one text. Use as a context manager; the scratch folder goes at exit."""
 
-    def __init__(self, depth: int, memory_symbols: int = 1 << 20, chunk: int = 1 << 17, folder: str | None = None, alphabet: int = 4096, resident: int = 256 << 20):
+    def __init__(self, depth: int, memory_symbols: int = 1 << 20, chunk: int = 1 << 17, folder: str | None = None, alphabet: int = 4096, resident: int = 16 << 20):
         self.depth, self.memory, self.chunk, self.alphabet, self.resident = depth, memory_symbols, chunk, alphabet, resident
         self.folder = tempfile.mkdtemp(prefix="induced-", dir=folder)
 

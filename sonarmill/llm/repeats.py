@@ -49,7 +49,7 @@ WINDOW = 400
 GRAM = 96
 BANDS = 2
 PIECE_SLAB = 1 << 22
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 2 << 20
 HOT_PIECES = 30_000  # of one core; more are split by longer cores
 HOT = 1000
 

@@ -49,7 +49,7 @@ text.tofile(sys.argv[3])
 text = np.memmap(sys.argv[3], np.uint16, "r")
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 total = 0
-with Sorter(400, memory_symbols=1 << 14, chunk=1 << 12, resident=1 << 21) as sorter:
+with Sorter(400, memory_symbols=1 << 14, chunk=1 << 12, resident=1 << 19) as sorter:
     for places, lcp in sorter.sort(text):
         total += len(places)
 assert total == len(text)
