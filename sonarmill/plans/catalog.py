@@ -6,7 +6,7 @@ MD5, an embedding is a frame of PCM, ``events`` are packets of one stream a user
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,23 +16,9 @@ from pyspark.sql import functions as F
 from sonarmill.functions import analysis, entropy, lpc, packet, signal, transform
 from sonarmill.functions.framing import parsed
 from sonarmill.operators import streams
+from sonarmill.plans.registry import ORACLE_SQL, QUERIES, query
 from sonarmill.sources import container
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.unhex(F.md5("text")).alias("data"))
 
@@ -503,3 +489,7 @@ def range_coder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_mode_counts(spark, sf_dir)
 
+
+from sonarmill.plans import kernels as kernels  # noqa: E402  adds its queries to those above
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
