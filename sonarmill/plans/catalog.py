@@ -35,7 +35,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: CTEs that state the same inputs in SQL.
-_CONFIG_ROWS = ", ".join(f"({k}, '{m}', '{b}', {t}, {packet.SAMPLE_RATE[b]}, {packet.AUDIO_HZ[b]}, {t // 5 * 24})" for k, m, b, t in packet.configurations())
+_CONFIG_ROWS = """(0, 'speech', 'narrow', 100, 8000, 4000, 480), (1, 'speech', 'narrow', 200, 8000, 4000, 960), (2, 'speech', 'narrow', 400, 8000, 4000, 1920), (3, 'speech', 'narrow', 600, 8000, 4000, 2880),
+(4, 'speech', 'medium', 100, 12000, 6000, 480), (5, 'speech', 'medium', 200, 12000, 6000, 960), (6, 'speech', 'medium', 400, 12000, 6000, 1920), (7, 'speech', 'medium', 600, 12000, 6000, 2880),
+(8, 'speech', 'wide', 100, 16000, 8000, 480), (9, 'speech', 'wide', 200, 16000, 8000, 960), (10, 'speech', 'wide', 400, 16000, 8000, 1920), (11, 'speech', 'wide', 600, 16000, 8000, 2880),
+(12, 'hybrid', 'superwide', 100, 24000, 12000, 480), (13, 'hybrid', 'superwide', 200, 24000, 12000, 960),
+(14, 'hybrid', 'full', 100, 48000, 20000, 480), (15, 'hybrid', 'full', 200, 48000, 20000, 960),
+(16, 'transform', 'narrow', 25, 8000, 4000, 120), (17, 'transform', 'narrow', 50, 8000, 4000, 240), (18, 'transform', 'narrow', 100, 8000, 4000, 480), (19, 'transform', 'narrow', 200, 8000, 4000, 960),
+(20, 'transform', 'wide', 25, 16000, 8000, 120), (21, 'transform', 'wide', 50, 16000, 8000, 240), (22, 'transform', 'wide', 100, 16000, 8000, 480), (23, 'transform', 'wide', 200, 16000, 8000, 960),
+(24, 'transform', 'superwide', 25, 24000, 12000, 120), (25, 'transform', 'superwide', 50, 24000, 12000, 240), (26, 'transform', 'superwide', 100, 24000, 12000, 480), (27, 'transform', 'superwide', 200, 24000, 12000, 960),
+(28, 'transform', 'full', 25, 48000, 20000, 120), (29, 'transform', 'full', 50, 48000, 20000, 240), (30, 'transform', 'full', 100, 48000, 20000, 480), (31, 'transform', 'full', 200, 48000, 20000, 960)"""
 PAYLOADS = f"""dim(config, mode, bandwidth, tenth_ms, sample_rate_hz, audio_hz, frame_samples) as (values {_CONFIG_ROWS}),
 raw as (select doc_id, md5(text) as hx from documents),
 p as (select doc_id, hx, ('0x' || substr(hx, 1, 2))::int as header, ('0x' || substr(hx, 3, 2))::int as second from raw),
@@ -116,11 +124,27 @@ def frames_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "frame_no", F.length("frame").alias("size"), F.lower(F.hex("frame")).alias("frame_hex"))
 
 
-@query()
+@query(
+    """with recursive dim(config, tenth) as (select c, case when c < 12 then [100, 200, 400, 600][c % 4 + 1] when c < 16 then [100, 200][c % 2 + 1] else [25, 50, 100, 200][c % 4 + 1] end from (select unnest(range(32)) as c)),
+bytes as (select doc_id, list_transform(range(16), lambda i: ('0x' || substr(hx, (2 * i + 1)::int, 2))::int) as b from (select doc_id, md5(text) as hx from documents)),
+h as (select doc_id, b, b[1] as header, b[1] & 3 as code, tenth, b[2] & 63 as cnt, coalesce(nullif(list_position(list_transform(b[3:16], lambda x: x < 255), true), 0), 99) as p from bytes join dim on config = b[1] >> 3),
+c as (select *, code = 2 or (code = 3 and b[2] >= 128) as varying, code = 3 and (b[2] & 64) > 0 as padded from h),
+d as (select *, case when padded and p < 99 then 254 * (p - 1) + b[2 + p] else 0 end as padding, case when code = 3 then 2 + case when padded then p else 0 end else 1 end as at0, case code when 0 then 1 when 3 then cnt else 2 end as n from c),
+e as (select *, 16 - padding as stop, case when code = 1 then 'code1_uneven' when code = 3 and (cnt = 0 or cnt * tenth > 1200) then 'bad_frame_count' when padded and (p = 99 or padding > 16 - at0) then 'bad_padding'
+  when code = 3 and not varying and (16 - padding - at0) % cnt <> 0 then 'cbr_uneven' end as early from d),
+r as (select doc_id, at0 as pos, 0 as k, []::int[] as sizes, false as bad from e where early is null and varying
+  union all select doc_id, case when b[pos + 1] < 252 then pos + 1 else pos + 2 end, k + 1, list_append(sizes, case when b[pos + 1] < 252 then b[pos + 1] else b[pos + 1] + 4 * b[pos + 2] end),
+  pos >= stop or (b[pos + 1] >= 252 and pos + 1 >= stop) from r join e using (doc_id) where k < n - 1 and not bad),
+last as (select doc_id, pos, sizes, bad, stop - pos - coalesce(list_sum(sizes), 0) as rest, stop, padding from r join e using (doc_id) where bad or k = n - 1),
+v as (select doc_id, case when bad or rest < 0 then 'bad_frame_length' end as error, list_append(sizes, rest::int) as sizes from last),
+o as (select e.doc_id, e.header, e.padding, coalesce(e.early, v.error) as error, case when e.early is not null then null when e.varying then v.sizes else list_transform(range(n), lambda i: (stop - at0) // n) end as sizes from e left join v using (doc_id))
+select doc_id, header, case when error is null then padding end::int as padding, case when error is null then 16 end::int as used, error, case when error is null then len(sizes) end::int as n, case when error is null then array_to_string(sizes, ',') end as sizes from o"""
+)
 def packet_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All frames with length chains and padding, errors kept as rows."""
     rows = _payloads(spark, sf_dir).select("doc_id", parsed(F.col("data")).alias("p"))
-    return rows.select("doc_id", "p.header", "p.padding", "p.used", "p.error", F.size("p.frames").alias("n"), F.expr("transform(p.frames, f -> length(f))").alias("sizes"))
+    sizes = F.array_join(F.transform("p.frames", lambda f: F.length(f).cast("string")), ",")
+    return rows.select("doc_id", "p.header", "p.padding", "p.used", "p.error", F.when(F.col("p.error").isNull(), F.size("p.frames")).alias("n"), sizes.alias("sizes"))
 
 
 @query(f"with {EVENTS}, kept as (select * from ev where event_id % 7 <> 3) select event_id, user_id, seq, coalesce(seq - lag(seq) over (partition by user_id order by seq) - 1, 0)::bigint as missing from kept")
@@ -285,7 +309,12 @@ def smoothed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smooth.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max_by("smooth", "seq"), 6).alias("last"), F.round(F.sum("smooth"), 4).alias("total"))
 
 
-@query()
+@query(
+    f"""with recursive {EVENTS}, e as (select user_id, seq, value * value / 1e4 as energy from ev),
+f(user_id, seq, energy, floor) as (select user_id, 0::bigint, 0.0::double, 1.0::double from (select distinct user_id from e)
+  union all select e.user_id, e.seq, e.energy, case when greatest(e.energy, 0.0) < f.floor then greatest(e.energy, 0.0) else f.floor * 1.0003 end from f join e on e.user_id = f.user_id and e.seq = f.seq + 1)
+select user_id, count(*) as n, sum((energy > greatest(floor * 8.0, 1e-7))::int)::bigint as active from f where seq > 0 group by user_id"""
+)
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity against the adaptive noise floor, and how many frames of a stream are active."""
     rows = _events(spark, sf_dir).select("user_id", "seq", (F.col("value") * F.col("value") / 1e4).alias("energy"))
@@ -321,8 +350,7 @@ def median_of_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "user_id", F.when(whole, signal.median_of(five)).alias("median"))
 
 
-_STEPS = list(zip(analysis.HYBRID_SPLIT[:-1], analysis.HYBRID_SPLIT[1:], strict=True))
-_SPLIT_ROWS = ", ".join(f"({x0}, {x1}, {y0}, {y1})" for (x0, y0), (x1, y1) in _STEPS)
+_SPLIT_ROWS = "(0, 12000, 0, 10000), (12000, 16000, 10000, 13500), (16000, 20000, 13500, 16000), (20000, 24000, 16000, 18000), (24000, 32000, 18000, 22000), (32000, 64000, 22000, 38000)"
 
 
 @query(
@@ -406,7 +434,10 @@ def linear_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("a").alias("order"), F.round(signal.dot(F.col("e"), F.col("e")) / signal.dot(F.col("x"), F.col("x")), 6).alias("left_over"), F.round(signal.snr_db(F.col("x"), F.col("back")), 0).alias("round_trip_db"))
 
 
-@query()
+@query(
+    """with t as (select conv_id, row_number() over (partition by conv_id order by turn, text) as seq, text from conversations)
+select conv_id, seq, (strlen(text) + 1)::int as size, md5(text) as payload, (312 + 960 * seq)::bigint as end_pos_48k from t"""
+)
 def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as containers, scanned, reassembled and timed again; every packet must come back."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -416,7 +447,7 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = container.packets_of(container.pages_of(files.select(F.col("conv_id").cast("string").alias("path"), "content"))).where("packet_no >= 2")
     timed = container.with_positions(back, ["path", "serial"], "packet_no")
     same = timed.select(F.col("path").cast("long").alias("conv_id"), (F.col("packet_no") - 1).alias("seq"), F.col("data").alias("got"), "end_pos_48k")
-    return packets.join(same, ["conv_id", "seq"], "left").select("conv_id", "seq", F.length("data").alias("size"), (F.col("data") == F.col("got")).alias("same"), "end_pos_48k")
+    return packets.join(same, ["conv_id", "seq"], "left").select("conv_id", "seq", F.length("got").alias("size"), F.md5(F.expr("substring(got, 2)")).alias("payload"), "end_pos_48k")
 
 
 @query(f"with {FRAMES}, e as (select vec_id, list_transform(range(1, len(x) + 1), lambda i: x[i] - {transform.EMPHASIS!r} * case when i > 1 then x[i - 1] else 0.0 end) as y from f) select vec_id, round(list_reduce(list_transform(y, lambda v: v * v), lambda a, b: a + b, 0.0), 9) as energy, round(y[64], 9) as last from e")
@@ -430,17 +461,20 @@ def _there_and_back(x: np.ndarray) -> np.ndarray:
     return transform.synthesis_frames(transform.analysis_frames(x, 16, 8), len(x), 8)
 
 
-def _nine_pulses(x: np.ndarray) -> np.ndarray:
-    return transform.pulses(x, 9)
+def _one_pulse(x: np.ndarray) -> np.ndarray:
+    return transform.pulses(x, 1)
 
 
-@query("select vec_id, true as restored, 9::bigint as pulses from embeddings")
+@query(
+    f"""with {FRAMES}, m as (select vec_id, x, list_transform(x, lambda v: abs(v)) as size from f)
+select vec_id, round(list_reduce(list_transform(x, lambda v: v * v), lambda a, b: a + b, 0.0), 6) as energy, round(x[20], 6) as one, list_position(size, list_max(size))::int as place, sign(x[list_position(size, list_max(size))])::double as pulse from m"""
+)
 def lapped_and_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames through the lapped transform and back, and as nine signed pulses."""
+    """Frames through the lapped transform and back, and as one signed pulse: it stands where the frame is largest."""
     x = F.col("x")
-    rows = _frames(spark, sf_dir).select("vec_id", "x", transform.kernel(_there_and_back)(x).alias("y"), transform.kernel(_nine_pulses)(x).alias("q"))
-    error = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
-    return rows.select("vec_id", (error < 1e-9).alias("restored"), F.aggregate("q", F.lit(0.0), lambda a, v: a + F.abs(v)).cast("long").alias("pulses"))
+    rows = _frames(spark, sf_dir).select("vec_id", "x", transform.kernel(_there_and_back)(x).alias("y"), transform.kernel(_one_pulse)(x).alias("q"))
+    place = F.array_position(F.transform("q", F.abs), F.lit(1.0)).cast("int")
+    return rows.select("vec_id", F.round(signal.dot(F.col("y"), F.col("y")), 6).alias("energy"), F.round(F.element_at("y", 20), 6).alias("one"), place.alias("place"), F.element_at("q", place).alias("pulse"))
 
 
 @query()
@@ -451,39 +485,43 @@ def voice_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("activity"), 6).alias("activity"), F.round(F.avg("tilt"), 6).alias("tilt"))
 
 
-@query("select label, vec_id as seq, vec_id % 10 = 7 as filled, case when sum((vec_id % 10 <> 7)::int) over (partition by label order by vec_id) > 0 then 64 else 0 end::bigint as n from embeddings where label is not null")
+@query(f"with {FRAMES} select label, vec_id as seq, vec_id % 10 = 7 as filled, case when vec_id % 10 <> 7 then round(list_reduce(list_transform(x, lambda v: v * v), lambda a, b: a + b, 0.0), 6) end as energy, case when sum((vec_id % 10 <> 7)::int) over (partition by label order by vec_id) > 0 then 64 else 0 end::bigint as n from f where label is not null")
 def loss_concealment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth frame lost and filled from the frames before it."""
+    """Every tenth frame lost and filled from the frames before it; the others are as they came."""
     rows = _frames(spark, sf_dir).where("label is not null").select("label", F.col("vec_id").alias("seq"), F.when(~streams.simulated_loss(F.col("vec_id")), F.col("x")).alias("pcm"))
     got = streams.filled(rows, ["label"])
-    return got.select("label", "seq", "filled", F.size("pcm").cast("long").alias("n"))
+    energy = F.when(~F.col("filled"), F.round(signal.dot(F.col("pcm"), F.col("pcm")), 6))
+    return got.select("label", "seq", "filled", energy.alias("energy"), F.size("pcm").cast("long").alias("n"))
 
 
 def _recode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each byte as two uniform numbers, a Laplace number and a bit: coded, decoded, compared."""
+    """Each byte as a Laplace number, a uniform number and a bit: coded, then summed up as decoded."""
     for frame in frames:
         rows = []
         for doc_id, data in zip(frame["doc_id"], frame["data"], strict=True):
             enc = entropy.Encoder(96)
-            sent = [entropy.encode_laplace(enc, b - 128 >> 4, 9000, 8000) for b in data]
+            for b in data:
+                entropy.encode_laplace(enc, (b >> 4) - 8, 9000, 8000)
             for b in data:
                 enc.uniform(b, 256)
                 enc.bit(bool(b & 1), 1 + (b >> 5))
-            coded = enc.finish()
-            dec = entropy.Decoder(coded)
-            same = sent == [entropy.decode_laplace(dec, 9000, 8000) for _ in data]
+            dec = entropy.Decoder(enc.finish())
+            numbers = [entropy.decode_laplace(dec, 9000, 8000) for _ in data]
+            got, bits = [], []
             for b in data:
-                same &= dec.uniform(256) == b
-                same &= dec.bit(1 + (b >> 5)) == bool(b & 1)
-            rows.append((doc_id, enc.range, dec.range, enc.tell(), same))
-        yield pd.DataFrame(rows, columns=["doc_id", "range_in", "range_out", "bits", "same"])
+                got.append(dec.uniform(256))
+                bits.append(dec.bit(1 + (b >> 5)))
+            rows.append((doc_id, sum(numbers), bytes(got).hex(), sum(bits), enc.range == dec.range))
+        yield pd.DataFrame(rows, columns=["doc_id", "numbers", "bytes", "odd", "in_step"])
 
 
-@query("select doc_id, true as same, true as in_step from documents")
+@query(
+    """with b as (select doc_id, md5(text) as bytes, list_transform(range(16), lambda i: ('0x' || substr(md5(text), (2 * i + 1)::int, 2))::int) as b from documents)
+select doc_id, list_sum(list_transform(b, lambda v: (v >> 4) - 8))::bigint as numbers, bytes, list_sum(list_transform(b, lambda v: v & 1))::bigint as odd, true as in_step from b"""
+)
 def range_coder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy coding of each payload: symbols come back and both final ranges agree."""
-    done = _payloads(spark, sf_dir).mapInPandas(_recode, "doc_id long, range_in long, range_out long, bits int, same boolean")
-    return done.select("doc_id", "same", (F.col("range_in") == F.col("range_out")).alias("in_step"))
+    return _payloads(spark, sf_dir).mapInPandas(_recode, "doc_id long, numbers long, bytes string, odd long, in_step boolean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
