@@ -132,6 +132,10 @@ class Decoder:
         self.part = self.range // total
         return total - min(self.value // self.part + 1, total)
 
+    def shrink(self, size: int) -> None:
+        """The packet ends after ``size`` bytes: raw bits are read from there."""
+        self.data = self.data[:size]
+
     def take(self, first: int, stop: int, total: int) -> None:
         over = self.part * (total - stop)
         self.value -= over

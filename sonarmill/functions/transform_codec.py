@@ -145,6 +145,7 @@ class FrameCodec:
     pitch_before: Pitch = field(default_factory=Pitch)
     coded_before: int = N_BANDS
     lost: int = 0
+    every: int = 1  # of the output's samples one is kept: what it can't hold is left out
 
     def __post_init__(self) -> None:
         self.log = np.zeros((2, N_BANDS))
@@ -281,6 +282,8 @@ class FrameCodec:
 
     def _synthesised(self, freq: np.ndarray, blocks: int, pitch: Pitch, lm: int) -> np.ndarray:
         n, out = freq.shape[1], []
+        if self.every > 1:
+            freq[:, n // self.every :] = 0
         for c in range(self.channels):
             x = samples(freq[c], blocks)
             x[:OVERLAP] += self.tail[c]

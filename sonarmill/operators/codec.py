@@ -1,9 +1,9 @@
-"""Packets to samples and back: keyed folds over the transform layer.
+"""Packets to samples and back: keyed folds over the speech and transform layers.
 
 A stream's packets depend on those before them, so decoding and encoding are
 folds (``streaming.fold``): one definition for batch and Structured Streaming,
-parallel over streams. The speech layer is not decoded; its packets give an
-error value, not a wrong signal.
+parallel over streams. Streams of the public format need its energy model and speech
+codebooks as parameters (``Tables``); by default these are built by rule.
 
 Nulls: a null packet is a lost one and is concealed with the last packet's length;
 a null frame of samples is silence as long as the last one. Broken packets give
@@ -19,63 +19,166 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarmill.functions import band_codec, framing
+from sonarmill.functions.entropy import Decoder, Encoder
 from sonarmill.functions.packet import configurations
+from sonarmill.functions.speech_codec import SpeechDecoder, SpeechEncoder, speech_packet
+from sonarmill.functions.speech_tables import SpeechTables
+from sonarmill.functions.transform import window
 from sonarmill.functions.transform_codec import END_BAND, RATE, FrameCodec
 from sonarmill.sources import container
 from sonarmill.streaming.fold import Fold, fold_batch, fold_stream
 
-SPEECH_LAYER = "speech_layer_not_decoded"
 DECODED = "seq long, channels int, samples long, pcm array<float>, final_range long, concealed boolean, error string"
 ENCODED = "seq long, data binary, final_range long, samples long, error string"
 MAX_PACKET = 1275
 FRAME_MS = {25: 0, 50: 1, 100: 2, 200: 3}
 
 
+SPEECH_KHZ = {"narrow": 8, "medium": 12, "wide": 16}
+HYBRID_START = 17
+BEFORE_SUPPRESSION_MS, MOST_SUPPRESSED_MS = 200, 400
+
+
+@dataclass
+class Tables:
+    """What streams of the public format must bring along."""
+
+    model: band_codec.CoarseModel = band_codec.plain_model
+    speech: SpeechTables = field(default_factory=SpeechTables)
+
+
 def layout_ok(streams: int, coupled: int, mapping: list[int]) -> bool:
     return 1 <= streams and 0 <= coupled <= streams and streams + coupled <= 255 and all(m == 255 or 0 <= m < streams + coupled for m in mapping)
 
 
 @dataclass
 class PacketDecoder(Fold):
-    """Packets (seq, data) of one stream to samples at 48 kHz (or a divisor of it, ``rate``)."""
+    """Packets (seq, data) of one stream to samples at 48 kHz (or a divisor of it, ``rate``).
+
+    With ``recover`` a lost packet waits for the next one, which may hold a copy of it.
+    """
 
     channels: int = 2
     rate: int = RATE
-    model: band_codec.CoarseModel = band_codec.plain_model
+    tables: Tables = field(default_factory=Tables)
+    recover: bool = False
     codec: FrameCodec = field(init=False)
-    lm: int = 3
+    tenths: int = 200
     count: int = 1
+    mode: str = "transform"
     top: int = 21
+    waiting: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if self.channels not in (1, 2) or RATE % self.rate or RATE // self.rate not in (1, 2, 3, 4, 6):
             raise ValueError("channels are 1 or 2, rates 48000, 24000, 16000, 12000 or 8000")
-        self.codec = FrameCodec(self.channels, self.model)
+        self.codec = FrameCodec(self.channels, self.tables.model, every=RATE // self.rate)
+        self.speech = SpeechDecoder(self.channels, self.tables.speech)
+        self.final_range = 0
+
+    def frame(self, data: bytes, coded: int, bandwidth: str) -> np.ndarray:
+        """Samples of a frame in the mode at hand."""
+        lm = FRAME_MS.get(self.tenths, 3)
+        if len(data) <= 1:
+            return self.lost_frame()
+        if self.mode == "transform":
+            out = self.codec.decode(data, lm, coded, 0, self.top)
+            self.final_range = self.codec.final_range
+            return out
+        wire = band_codec.Reader(Decoder(data), len(data))
+        out = self.speech.decode(wire, self.tenths // 10, SPEECH_KHZ.get(bandwidth, 16), coded)
+        hybrid = self.mode == "hybrid"
+        extra, at_start = b"", False
+        if wire.room(37 if hybrid else 17) and (not hybrid or wire.bit(False, 12)):
+            at_start = bool(wire.bit(False, 1))
+            size = wire.uniform(0, 256) + 2 if hybrid else len(data) - (wire.tell() + 7 >> 3)
+            if 0 < size and 8 * (len(data) - size) >= wire.tell():
+                extra = data[len(data) - size :]
+                wire.bits -= 8 * size
+                wire.coder.shrink(len(data) - size)
+        if hybrid:
+            out = out + self.codec.decode(b"", lm, coded, HYBRID_START, self.top, wire)
+        self.final_range = wire.coder.range
+        if extra:
+            out = self._joined(out, extra, at_start, coded)
+        return out
+
+    def _joined(self, out: np.ndarray, extra: bytes, at_start: bool, coded: int) -> np.ndarray:
+        """Cross-fades a 5 ms transform frame in at a change of modes."""
+        codec = FrameCodec(self.channels, self.tables.model, every=RATE // self.rate)
+        short = codec.decode(extra, 1, coded, 0, self.top)
+        self.final_range ^= codec.final_range
+        fade = window(120) ** 2
+        if at_start:
+            out[:, :120] = short[:, :120]
+            out[:, 120:240] = (1 - fade) * short[:, 120:] + fade * out[:, 120:240]
+        else:
+            out[:, -120:] = (1 - fade) * out[:, -120:] + fade * short[:, 120:]
+            self.codec = codec
+        return out
 
-    def frames(self, parsed: framing.Frames) -> tuple[np.ndarray | None, bool, str | None]:
+    def frames(self, parsed: framing.Frames) -> tuple[np.ndarray, bool, str | None]:
         """(samples by channel, whether concealed, error) of a parsed packet."""
-        mode, bandwidth, tenths = configurations()[parsed.header >> 3][1:4]
-        if mode != "transform":
-            return None, False, SPEECH_LAYER
-        self.lm, self.top, self.count = FRAME_MS[tenths], END_BAND[bandwidth], len(parsed.frames)
-        coded = 2 if parsed.header & 4 else 1
-        parts = [self.codec.decode(f, self.lm, coded, 0, self.top) if len(f) > 1 else self.codec.conceal(self.lm, 0, self.top) for f in parsed.frames]
+        mode, bandwidth, self.tenths = configurations()[parsed.header >> 3][1:4]
+        if mode == "transform" and self.mode != "transform":
+            self.codec = FrameCodec(self.channels, self.tables.model, every=RATE // self.rate)
+        if mode != "transform" and self.mode == "transform":
+            self.speech = SpeechDecoder(self.channels, self.tables.speech)
+        self.mode, self.top, self.count = mode, END_BAND[bandwidth], len(parsed.frames)
+        parts = [self.frame(f, 2 if parsed.header & 4 else 1, bandwidth) for f in parsed.frames]
         return np.concatenate(parts, axis=1), all(len(f) <= 1 for f in parsed.frames), None
 
+    def lost_frame(self) -> np.ndarray:
+        if self.mode == "transform":
+            return self.codec.conceal(FRAME_MS[self.tenths], 0, self.top)
+        out = self.speech.conceal(self.tenths // 10)
+        return out + self.codec.conceal(FRAME_MS[self.tenths], HYBRID_START, self.top) if self.mode == "hybrid" else out
+
     def lost(self) -> np.ndarray:
         """Samples in place of a packet that did not come."""
-        return np.concatenate([self.codec.conceal(self.lm, 0, self.top) for _ in range(self.count)], axis=1)
+        return np.concatenate([self.lost_frame() for _ in range(self.count)], axis=1)
+
+    def recovered(self, data: bytes | None) -> np.ndarray | None:
+        """The packet before, from the copy in this one, if there is one of the same kind."""
+        try:
+            parsed = framing.split(data or b"")
+        except framing.FramingError:
+            return None
+        mode, bandwidth, tenths = configurations()[parsed.header >> 3][1:4]
+        if mode != "speech" or self.mode != "speech" or len(parsed.frames[0]) < 2:
+            return None
+        self.tenths, self.count = tenths, 1
+        frame = parsed.frames[0]
+        return self.speech.recover(band_codec.Reader(Decoder(frame), len(frame)), tenths // 10, SPEECH_KHZ[bandwidth], 2 if parsed.header & 4 else 1)
+
+    def _row(self, seq: int, pcm: np.ndarray | None, concealed: bool, error: str | None = None) -> dict:
+        return _decoded(seq, pcm, self.channels, RATE // self.rate, self.final_range, concealed, error)
+
+    def _late(self, data: bytes | None) -> list[dict]:
+        """Rows of the packets that were waited for."""
+        out = []
+        for k, seq in enumerate(self.waiting):
+            pcm = self.recovered(data) if k == len(self.waiting) - 1 else None
+            out.append(self._row(seq, self.lost() if pcm is None else pcm, True))
+        self.waiting = []
+        return out
 
     def step(self, row: dict) -> list[dict]:
-        concealed, error = row["data"] is None, None
-        if concealed:
-            pcm = self.lost()
-        else:
-            try:
-                pcm, concealed, error = self.frames(framing.split(bytes(row["data"])))
-            except framing.FramingError as broken:
-                pcm, error = None, broken.args[0]
-        return [_decoded(row["seq"], pcm, self.channels, RATE // self.rate, self.codec.final_range, concealed, error)]
+        if row["data"] is None:
+            if self.recover:
+                self.waiting.append(row["seq"])
+                return []
+            return [self._row(row["seq"], self.lost(), True)]
+        data = bytes(row["data"])
+        before = self._late(data)
+        try:
+            pcm, concealed, error = self.frames(framing.split(data))
+        except framing.FramingError as broken:
+            pcm, concealed, error = None, False, broken.args[0]
+        return [*before, self._row(row["seq"], pcm, concealed, error)]
+
+    def end(self) -> list[dict]:
+        return self._late(None)
 
 
 def _decoded(seq: int, pcm: np.ndarray | None, channels: int, every: int, final_range: int, concealed: bool, error: str | None) -> dict:
@@ -98,13 +201,13 @@ class MultistreamDecoder(Fold):
     streams: int = 1
     coupled: int = 0
     mapping: tuple[int, ...] = (0,)
-    model: band_codec.CoarseModel = band_codec.plain_model
+    tables: Tables = field(default_factory=Tables)
     decoders: list[PacketDecoder] = field(init=False)
 
     def __post_init__(self) -> None:
         if not layout_ok(self.streams, self.coupled, list(self.mapping)):
             raise ValueError("no such layout")
-        self.decoders = [PacketDecoder(2 if k < self.coupled else 1, RATE, self.model) for k in range(self.streams)]
+        self.decoders = [PacketDecoder(2 if k < self.coupled else 1, RATE, self.tables) for k in range(self.streams)]
 
     def decoded(self, data: bytes | None) -> tuple[np.ndarray | None, bool, str | None, int]:
         if data is None:
@@ -121,7 +224,7 @@ class MultistreamDecoder(Fold):
         error = next((e for _, _, e in got if e), None)
         final = 0
         for d in self.decoders:
-            final ^= d.codec.final_range
+            final ^= d.final_range
         if error:
             return None, False, error, final
         # Channels in order of the streams are the numbers that the mapping names.
@@ -141,7 +244,7 @@ class FileDecoder(Fold):
     Output is trimmed: the pre-skip at the start goes, and what lies behind the last granule; the header's gain is applied.
     """
 
-    model: band_codec.CoarseModel = band_codec.plain_model
+    tables: Tables = field(default_factory=Tables)
     head: dict | None = None
     error: str | None = None
     decoder: MultistreamDecoder | None = None
@@ -154,7 +257,7 @@ class FileDecoder(Fold):
                 self.head = container.parse_head(bytes(data))
                 h = self.head
                 streams, coupled, mapping = (h["stream_count"], h["coupled_count"], h["mapping"]) if h["family"] else (1, h["channel_count"] - 1, list(range(h["channel_count"])))
-                self.decoder = MultistreamDecoder(streams, coupled, tuple(mapping), self.model)
+                self.decoder = MultistreamDecoder(streams, coupled, tuple(mapping), self.tables)
             except ValueError as broken:
                 self.error = broken.args[0]
             return []
@@ -174,31 +277,100 @@ class FileDecoder(Fold):
 
 @dataclass
 class PacketEncoder(Fold):
-    """Frames (seq, pcm) of one stream, interleaved at 48 kHz, 2.5 to 20 ms each, to packets of one transform frame."""
+    """Frames (seq, pcm) of one stream, interleaved at 48 kHz, 2.5 to 60 ms each, to packets of one frame.
+
+    ``mode`` is transform, speech, hybrid or auto (by rate, frame length and the smoothed share of high
+    frequencies). ``dtx`` sends the header alone while silence lasts; ``copies`` adds
+    a copy of the frame before to speech packets of one channel.
+    """
 
     channels: int = 1
     kbps: float = 64.0
     bandwidth: str = "full"
-    model: band_codec.CoarseModel = band_codec.plain_model
-    codec: FrameCodec = field(init=False)
-    lm: int = 3
+    mode: str = "transform"
+    dtx: bool = False
+    copies: bool = False
+    tables: Tables = field(default_factory=Tables)
+    samples: int = 960
+    idle: float = 0.0
+    music: float = 0.5
 
     def __post_init__(self) -> None:
-        if self.channels not in (1, 2) or self.bandwidth not in ("narrow", "wide", "superwide", "full") or not 4 <= self.kbps <= 510:
-            raise ValueError("channels are 1 or 2, rates 4 to 510 kb/s, bandwidths those of the transform layer")
-        self.codec = FrameCodec(self.channels, self.model)
+        bands = {"speech": ("narrow", "medium", "wide"), "hybrid": ("superwide", "full")}.get(self.mode, ("narrow", "wide", "superwide", "full"))
+        if self.channels not in (1, 2) or self.bandwidth not in bands or not 4 <= self.kbps <= 510 or self.mode not in ("transform", "speech", "hybrid", "auto"):
+            raise ValueError("channels are 1 or 2, rates 4 to 510 kb/s, modes and bandwidths those of the format")
+        self.codec = FrameCodec(self.channels, self.tables.model)
+        self.speech: SpeechEncoder | None = None
+        self.delay = np.zeros((self.channels, 0))
+        self.now = ""
+
+    def _mode(self, x: np.ndarray, n: int) -> str:
+        """The mode that suits a frame."""
+        if self.mode != "auto":
+            return self.mode
+        if x.any():
+            power = np.abs(np.fft.rfft(x.mean(axis=0))) ** 2
+            high = float(power[len(power) // 6 :].sum() / max(power.sum(), 1e-20))  # above 4 kHz
+            self.music += 0.2 * (min(1.0, 4 * high) - self.music)
+        low = self.bandwidth in ("narrow", "wide")
+        if n < 480 or (self.kbps > (24 if low else 40) and self.music > 0.25) or self.music > 0.7:
+            return "transform"
+        return "speech" if low or n > 960 else "hybrid"
+
+    def _speech_encoder(self, khz: int, fresh: bool) -> SpeechEncoder:
+        if fresh or self.speech is None or self.speech.khz != khz:
+            self.speech = SpeechEncoder(self.channels, khz, self.tables.speech, self.copies)
+        return self.speech
+
+    def _frame(self, x: np.ndarray, size: int) -> tuple[int, bytes, int]:
+        """(configuration, frame, final range)."""
+        n = x.shape[1]
+        mode = self._mode(x, n)
+        fresh, self.now = mode != self.now, mode
+        if mode == "speech":
+            band = self.bandwidth if self.bandwidth in SPEECH_KHZ else "wide"
+            data, final = speech_packet(self._speech_encoder(SPEECH_KHZ[band], fresh), x, size)
+            return 4 * ("narrow", "medium", "wide").index(band) + (480, 960, 1920, 2880).index(n), data, final
+        if fresh:
+            self.codec = FrameCodec(self.channels, self.tables.model)
+        lm = (120, 240, 480, 960).index(n)
+        if mode == "transform":
+            data = self.codec.encode(x, size, lm, 0, END_BAND[self.bandwidth])
+            return 16 + 4 * ("narrow", "wide", "superwide", "full").index(self.bandwidth) + lm, data, self.codec.final_range
+        # Hybrid: the speech layer's lag is made up for, so that both layers meet.
+        speech = self._speech_encoder(16, fresh)
+        if fresh:
+            self.delay = np.zeros((self.channels, 120 - speech.lag))
+        late = np.concatenate([self.delay, x], axis=1)
+        self.delay = late[:, n:]
+        wire = band_codec.Writer(Encoder(size), size)
+        share = 8 * size * 0.6 if n == 960 else 8 * size * 0.65
+        speech.encode(wire, late[:, :n], int(share))
+        if wire.room(37):
+            wire.bit(False, 12)
+        self.codec.encode(x, size, lm, HYBRID_START, END_BAND[self.bandwidth], wire)
+        return 12 + 2 * ("superwide", "full").index(self.bandwidth) + (480, 960).index(n), wire.coder.finish(), wire.coder.range
 
     def step(self, row: dict) -> list[dict]:
-        sizes = [120 << lm for lm in range(4)]
-        pcm = np.zeros(self.channels * sizes[self.lm]) if row["pcm"] is None else np.nan_to_num(np.asarray(row["pcm"], float), posinf=0.0, neginf=0.0)
-        if len(pcm) % self.channels or len(pcm) // self.channels not in sizes:
+        pcm = np.zeros(self.channels * self.samples) if row["pcm"] is None else np.nan_to_num(np.asarray(row["pcm"], float), posinf=0.0, neginf=0.0)
+        n, rest = divmod(len(pcm), self.channels)
+        allowed = {"transform": (120, 240, 480, 960), "speech": (480, 960, 1920, 2880), "hybrid": (480, 960), "auto": (120, 240, 480, 960)}[self.mode]
+        if rest or n not in allowed:
             return [{"seq": row["seq"], "error": "bad_frame_size"}]
-        n = len(pcm) // self.channels
-        self.lm = sizes.index(n)
+        self.samples = n
         size = int(min(MAX_PACKET, max(2, self.kbps * 1000 * n / RATE / 8 - 1)))
-        data = self.codec.encode(np.clip(pcm.reshape(n, self.channels).T, -2, 2), size, self.lm, 0, END_BAND[self.bandwidth])
-        config = 16 + 4 * ("narrow", "wide", "superwide", "full").index(self.bandwidth) + self.lm
-        return [{"seq": row["seq"], "data": bytes([config << 3 | (self.channels - 1) << 2]) + data, "final_range": self.codec.final_range, "samples": n}]
+        x = np.clip(pcm.reshape(n, self.channels).T, -2, 2)
+        try:
+            config, data, final = self._frame(x, size)
+        except ValueError:
+            return [{"seq": row["seq"], "error": "packet_too_small"}]
+        self.idle = 0.0 if np.abs(x).max() > 1e-4 else self.idle + n / 48
+        if self.dtx and self.idle > BEFORE_SUPPRESSION_MS:
+            if self.idle > BEFORE_SUPPRESSION_MS + MOST_SUPPRESSED_MS:
+                self.idle = float(BEFORE_SUPPRESSION_MS)
+            else:
+                data = b""
+        return [{"seq": row["seq"], "data": bytes([config << 3 | (self.channels - 1) << 2]) + data, "final_range": final, "samples": n}]
 
 
 class _Make:
@@ -220,27 +392,28 @@ def _folded(df: DataFrame, columns: list[str], keys: list[str], order: list[str]
     return (fold_stream if df.isStreaming else fold_batch)(rows, keys, order, make, _keyed(df, keys, schema))
 
 
-def decode(df: DataFrame, keys: list[str], channels: int = 2, rate: int = RATE, model: band_codec.CoarseModel = band_codec.plain_model) -> DataFrame:
+def decode(df: DataFrame, keys: list[str], channels: int = 2, rate: int = RATE, tables: Tables | None = None, recover: bool = False) -> DataFrame:
     """(keys, seq, channels, samples, pcm, final_range, concealed, error) from packets (keys, seq, data)."""
-    return _folded(df, ["seq", "data"], keys, ["seq"], _Make(PacketDecoder, {"channels": channels, "rate": rate, "model": model}), DECODED)
+    return _folded(df, ["seq", "data"], keys, ["seq"], _Make(PacketDecoder, {"channels": channels, "rate": rate, "tables": tables or Tables(), "recover": recover}), DECODED)
 
 
-def decode_multistream(df: DataFrame, keys: list[str], streams: int, coupled: int, mapping: list[int], model: band_codec.CoarseModel = band_codec.plain_model) -> DataFrame:
+def decode_multistream(df: DataFrame, keys: list[str], streams: int, coupled: int, mapping: list[int], tables: Tables | None = None) -> DataFrame:
     """As ``decode`` for multistream packets; ``mapping`` has an entry for each output channel."""
-    return _folded(df, ["seq", "data"], keys, ["seq"], _Make(MultistreamDecoder, {"streams": streams, "coupled": coupled, "mapping": tuple(mapping), "model": model}), DECODED)
+    return _folded(df, ["seq", "data"], keys, ["seq"], _Make(MultistreamDecoder, {"streams": streams, "coupled": coupled, "mapping": tuple(mapping), "tables": tables or Tables()}), DECODED)
 
 
-def encode(df: DataFrame, keys: list[str], channels: int = 1, kbps: float = 64.0, bandwidth: str = "full", model: band_codec.CoarseModel = band_codec.plain_model) -> DataFrame:
+def encode(df: DataFrame, keys: list[str], channels: int = 1, kbps: float = 64.0, bandwidth: str = "full", mode: str = "transform", dtx: bool = False, copies: bool = False, tables: Tables | None = None) -> DataFrame:
     """(keys, seq, data, final_range, samples, error) from frames (keys, seq, pcm)."""
-    return _folded(df, ["seq", "pcm"], keys, ["seq"], _Make(PacketEncoder, {"channels": channels, "kbps": kbps, "bandwidth": bandwidth, "model": model}), ENCODED)
+    options = {"channels": channels, "kbps": kbps, "bandwidth": bandwidth, "mode": mode, "dtx": dtx, "copies": copies, "tables": tables or Tables()}
+    return _folded(df, ["seq", "pcm"], keys, ["seq"], _Make(PacketEncoder, options), ENCODED)
 
 
-def decode_files(files: DataFrame, model: band_codec.CoarseModel = band_codec.plain_model) -> DataFrame:
+def decode_files(files: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(path, serial, seq, ...) as ``decode``, of the audio streams of containers (path, content)."""
     packets = container.packets_of(container.pages_of(files))
     audio = container.first_audio_serial(container.pages_of(files))
     rows = packets.join(audio, ["path", "serial"], "left_semi")
-    return _folded(rows, ["packet_no", "data", "granule", "eos"], ["path", "serial"], ["packet_no"], _Make(FileDecoder, {"model": model}), DECODED)
+    return _folded(rows, ["packet_no", "data", "granule", "eos"], ["path", "serial"], ["packet_no"], _Make(FileDecoder, {"tables": tables or Tables()}), DECODED)
 
 
 def encode_files(df: DataFrame, key: str, channels: int = 1, kbps: float = 64.0, pre_skip: int = 120, vendor: bytes = b"sonarmill") -> DataFrame:
