@@ -232,3 +232,24 @@ def angle_steps(n: Column, bits: Column, offset: Column, cap: Column, stereo: Co
     kept = F.greatest(share, F.lit(0))
     steps = _shift(_shift(F.element_at(roots, (kept.bitwiseAND(7) + 1).cast("int")), F.lit(14) - _shift(kept, 3)) + 1, 1) * 2
     return F.when(share < 4, F.lit(1).cast("long")).otherwise(steps)
+
+
+# Speech layer
+
+
+def sigmoid(x: Column) -> Column:
+    """32768 over 1 + exp(-x / 32), in six straight pieces to either side."""
+    slopes = F.array(*[F.lit(v).cast("long") for v in (237, 153, 73, 30, 12, 7)])  # fixed values: slopes and the pieces' starts
+    above = F.array(*[F.lit(v).cast("long") for v in (16384, 23955, 28861, 31213, 32178, 32548)])
+    below = F.array(*[F.lit(v).cast("long") for v in (16384, 8812, 3906, 1554, 589, 219)])
+    size = F.least(F.abs(x), F.lit(191))
+    place, rest = (_shift(size, 5) + 1).cast("int"), size.bitwiseAND(31)
+    step = F.element_at(slopes, place) * rest
+    return F.when(x >= 192, 32767).when(x <= -192, 0).when(x < 0, F.element_at(below, place) - step).otherwise(F.element_at(above, place) + step).cast("long")
+
+
+def energy_and_shift(x: Column) -> Column:
+    """struct<energy, shift>: the sum of squares of 16-bit samples, shifted right until it leaves two bits of 32 free."""
+    squares = F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v.cast("long") * v.cast("long"))
+    need = F.greatest(F.lit(0), F.when(squares > 0, F.length(F.bin(squares))).otherwise(0) - 30).cast("int")
+    return F.struct(F.call_function("shiftright", squares, need).alias("energy"), need.alias("shift"))

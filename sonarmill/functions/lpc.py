@@ -36,6 +36,70 @@ def levinson(r: np.ndarray, order: int) -> np.ndarray | None:
     return a
 
 
+def burg(x: np.ndarray, order: int, least: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Burg's predictor and the energy it leaves over; it stops where the inverse gain would fall below ``least``."""
+    x = np.asarray(x, float)
+    forward, backward = x.copy(), x.copy()
+    a, inverse, energy = np.zeros(0), 1.0, float(x @ x)
+    for _ in range(min(order, len(x) - 1)):
+        f, b = forward[1:], backward[:-1]
+        power = float(f @ f + b @ b)
+        k = 2 * float(f @ b) / power if power > 0 else 0.0
+        if inverse * (1 - k * k) < least:
+            # Only as much of the last step as the bound allows.
+            k = np.sign(k) * np.sqrt(max(0.0, 1 - least / inverse))
+            a = np.append(a - k * a[::-1], k)
+            inverse = least
+            break
+        a = np.append(a - k * a[::-1], k)
+        inverse *= 1 - k * k
+        forward, backward = f - k * b, b - k * f
+    return np.concatenate([a, np.zeros(order - len(a))]), energy * inverse
+
+
+def schur(r: np.ndarray, order: int) -> tuple[np.ndarray, float]:
+    """Reflection coefficients of an autocorrelation, and the residual energy."""
+    top, bottom, out = np.array(r[: order + 1], float), np.array(r[: order + 1], float), []
+    for k in range(order):
+        if bottom[0] <= 0:
+            break
+        reflection = -top[k + 1] / max(bottom[0], 1e-9)
+        out.append(reflection)
+        upper, lower = top[k + 1 :].copy(), bottom[: len(top) - k - 1].copy()
+        top[k + 1 :], bottom[: len(upper)] = upper + reflection * lower, lower + reflection * upper
+    return np.array(out + [0.0] * (order - len(out))), float(bottom[0])
+
+
+def from_reflections(rc: np.ndarray) -> np.ndarray:
+    """The predictor of reflection coefficients."""
+    a = np.zeros(0)
+    for k in rc:
+        a = np.append(a + k * a[::-1], -k)
+    return a
+
+
+def sine_window(n: int, rising: bool) -> np.ndarray:
+    """A quarter of a sine over n samples, up or down."""
+    x = np.sin(np.pi / 2 * (np.arange(n) + 1) / (n + 1))
+    return x if rising else x[::-1]
+
+
+def warped_autocorrelation(x: np.ndarray, warping: float, order: int) -> np.ndarray:
+    """Autocorrelation with each delay replaced by an all-pass: frequencies are stretched at the low end."""
+    x = np.asarray(x, float)
+    out, now = [float(x @ x)], x
+    for _ in range(order):
+        late = np.empty(len(now))
+        before_in = before_out = 0.0
+        for i, v in enumerate(now):
+            before_out = before_in + warping * (before_out - v)
+            before_in = v
+            late[i] = before_out
+        now = late
+        out.append(float(x @ now))
+    return np.array(out)
+
+
 def bandwidth_expanded(a: np.ndarray, chirp: float) -> np.ndarray:
     """Coefficient k times chirp ** (k + 1): poles move toward the origin."""
     return a * chirp ** np.arange(1, len(a) + 1)

@@ -7,6 +7,8 @@ array gives null unless a function says otherwise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,31 @@ def from_int16(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double") / 32768.0)
 
 
+def to_bytes(pcm: Column) -> Column:
+    """16-bit samples as bytes, low byte first."""
+    word = lambda v: F.lpad(F.hex(F.pmod(v.cast("long"), F.lit(65536))), 4, "0")
+    return F.unhex(F.array_join(F.transform(pcm, lambda v: F.concat(F.substring(word(v), 3, 2), F.substring(word(v), 1, 2))), ""))
+
+
+def from_bytes(data: Column) -> Column:
+    """16-bit samples of bytes, low byte first; an odd last byte is left out."""
+    hexed, n = F.hex(data), F.floor(F.length(data) / 2).cast("int")
+    value = lambda k: F.conv(F.concat(F.substring(hexed, 4 * k + 3, F.lit(2)), F.substring(hexed, 4 * k + 1, F.lit(2))), 16, 10).cast("int")
+    signed = lambda v: F.when(v >= 32768, v - 65536).otherwise(v)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: signed(value(k)))).otherwise(F.when(data.isNotNull(), F.array().cast("array<int>")))
+
+
+def projection(x: Column, hz: float, rate: float = 48000.0) -> Column:
+    """struct<cos, sin, amplitude, snr_db>: the sine of one frequency that fits best, and what it leaves."""
+    wide, n = _d(x), F.size(x).cast("double")
+    step = 2 * math.pi * hz / rate
+    a = total(F.transform(wide, lambda v, k: v * F.cos(k * F.lit(step)))) * 2 / n
+    b = total(F.transform(wide, lambda v, k: v * F.sin(k * F.lit(step)))) * 2 / n
+    fit = F.transform(wide, lambda v, k: a * F.cos(k * F.lit(step)) + b * F.sin(k * F.lit(step)))
+    rest = F.zip_with(wide, fit, lambda v, f: (v - f) * (v - f))
+    return F.struct(a.alias("cos"), b.alias("sin"), F.sqrt(a * a + b * b).alias("amplitude"), (F.lit(10.0) * F.log10(total(F.transform(fit, lambda f: f * f)) / total(rest))).alias("snr_db"))
+
+
 def downmix(x: Column) -> Column:
     """Interleaved stereo to mono: the mean of each pair."""
     wide = _d(x)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarmill.functions import allocation, fixed
+from sonarmill.functions import allocation, fixed, messages, signal
 from sonarmill.functions.entropy import pulse_vectors
 from sonarmill.plans.registry import query
+from sonarmill.sources import container
 
 #: Pseudo-random 32-bit numbers a and b (b odd), shifts s from 1 to 7, of every line item.
 NUMBERS = """n as (select l_orderkey as k, l_linenumber as line, (l_orderkey::bigint * 2654435761 + l_linenumber * 40503) % 4294967296 - 2147483648 as a,
@@ -190,3 +191,49 @@ def pulse_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (key % 20 + 1).cast("long").alias("n"), (F.floor(key / 20) % 7 + 1).cast("long").alias("k"))
     rows = [(n, k, pulse_vectors(n, k), allocation.ladder(n)[k]) for n in range(1, 21) for k in range(1, 8)]  # 140 rows
     return parts.join(F.broadcast(spark.createDataFrame(rows, "n long, k long, vectors long, cost long")), ["n", "k"]).select("p_partkey", "n", "k", "vectors", "cost")
+
+
+@query(
+    """with w as (select vec_id, list_transform(embedding, lambda v: v::double) as x from embeddings),
+p as (select vec_id, x, list_sum(list_transform(range(64), lambda k: x[k + 1] * cos(k * 2 * pi() * 3000 / 48000))) / 32 as a, list_sum(list_transform(range(64), lambda k: x[k + 1] * sin(k * 2 * pi() * 3000 / 48000))) / 32 as b from w),
+f as (select *, list_transform(range(64), lambda k: a * cos(k * 2 * pi() * 3000 / 48000) + b * sin(k * 2 * pi() * 3000 / 48000)) as y from p)
+select vec_id, round(sqrt(a * a + b * b), 9) as amplitude, round(10 * log10(list_sum(list_transform(y, lambda v: v * v)) / list_sum(list_transform(range(1, 65), lambda k: (x[k] - y[k]) * (x[k] - y[k])))), 6) as snr_db from f"""
+)
+def sine_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 kHz sine that fits each frame best."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", signal.projection(F.col("embedding"), 3000.0).alias("p"))
+    return rows.select("vec_id", F.round("p.amplitude", 9).alias("amplitude"), F.round("p.snr_db", 6).alias("snr_db"))
+
+
+@query(
+    """with h as (select doc_id, md5(text) as hx from documents),
+s as (select doc_id, hx, list_transform(range(8), lambda k: (('0x' || substr(hx, (4 * k + 3)::int, 2) || substr(hx, (4 * k + 1)::int, 2))::int + 32768) % 65536 - 32768) as pcm from h),
+q as (select *, list_sum(list_transform(pcm, lambda v: v::bigint * v))::bigint as e from s), g as (select *, greatest(0, length(bin(e)) - 30)::int as shift from q)
+select doc_id, array_to_string(pcm, ',') as pcm, hx as bytes, upper('00000010' || printf('%08x', doc_id % 65536) || hx) as record, e >> shift as energy, shift from g"""
+)
+def sample_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads as 16-bit samples and back, their test-vector records, their energy with its shift."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.unhex(F.md5("text")).alias("data"))
+    rows = rows.withColumn("pcm", signal.from_bytes(F.col("data"))).withColumn("e", fixed.energy_and_shift(F.col("pcm")))
+    return rows.select(
+        "doc_id",
+        F.array_join(F.transform("pcm", lambda v: v.cast("string")), ",").alias("pcm"),
+        F.lower(F.hex(signal.to_bytes(F.col("pcm")))).alias("bytes"),
+        F.hex(container.bit_record(F.col("data"), F.col("doc_id") % 65536)).alias("record"),
+        F.col("e.energy").alias("energy"),
+        F.col("e.shift").alias("shift"),
+    )
+
+
+@query(
+    """with n as (select event_id, event_id % 500 - 250 as x from events), p as (select event_id, x, least(abs(x), 191) as s from n)
+select event_id, case when x >= 192 then 32767 when x <= -192 then 0 when x < 0 then [16384, 8812, 3906, 1554, 589, 219][(s >> 5) + 1] - [237, 153, 73, 30, 12, 7][(s >> 5) + 1] * (s & 31)
+  else [16384, 23955, 28861, 31213, 32178, 32548][(s >> 5) + 1] + [237, 153, 73, 30, 12, 7][(s >> 5) + 1] * (s & 31) end::bigint as sigmoid,
+case event_id % 4 when 0 then 'the packet has no bytes' when 1 then 'the page is cut short' when 2 then 'unheard of' end as message from p"""
+)
+def sigmoid_and_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The straight-line sigmoid, and error values in words."""
+    kind = F.col("event_id") % 4
+    error = F.when(kind == 0, "empty").when(kind == 1, "truncated").when(kind == 2, "unheard of")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", fixed.sigmoid(F.col("event_id") % 500 - 250).alias("sigmoid"), messages.message(error).alias("message"))

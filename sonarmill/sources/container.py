@@ -366,6 +366,12 @@ def bit_records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += 8 + n
 
 
+def bit_record(data: Column, final_range: Column) -> Column:
+    """The record of test-vector framing as a Column: length and final range, big-endian, then the packet."""
+    number = lambda v: F.lpad(F.hex(v.cast("long")), 8, "0")
+    return F.unhex(F.concat(number(F.length(data)), number(final_range), F.hex(data)))
+
+
 def read_bit_records(files: DataFrame) -> DataFrame:
     """Records of every row (path, content) of test-vector framing."""
 
