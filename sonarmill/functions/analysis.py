@@ -39,26 +39,37 @@ def band_energies(x: Column) -> Column:
         ys = [s[f"y{k}"] + p * (v - s[f"y{k}"]) for k, p in enumerate(poles)]
         return F.struct(*[c for k in range(4) for c in (ys[k].alias(f"y{k}"), (s[f"e{k}"] + ys[k] * ys[k]).alias(f"e{k}"))])
 
-    return F.aggregate(x.cast("array<double>"), zero, step, lambda s: F.struct(*[(s[f"e{k}"] / F.size(x)).alias(f"e{k}") for k in range(4)]))
+    return F.aggregate(x.cast("array<double>"), zero, step, lambda s: F.struct(*[F.try_divide(s[f"e{k}"], F.size(x)).alias(f"e{k}") for k in range(4)]))
 
 
 def features(x: Column) -> Column:
-    """struct<energy, music, bandwidth> of a mono 48 kHz frame; an empty frame is undecided (0.5), full and silent."""
-    low = band_energies(x)
-    whole = F.greatest(signal.energy(x), F.lit(1e-12))
-    low_e = [low[f"e{k}"] for k in range(4)]
+    """struct<energy, music, bandwidth> of a mono 48 kHz frame; an empty frame is undecided (0.5), full and silent.
+
+    The sums over samples stand in an array of one, so that each is computed once.
+    """
+    sums = F.struct(
+        band_energies(x).alias("low"),
+        signal.energy(x).alias("energy"),
+        F.try_divide(signal.zero_crossings(x), F.size(x)).alias("crossings"),
+        signal.lag1_correlation(x).alias("tilt"),
+        F.size(x).alias("n"),
+    )
+    return F.get(F.transform(F.array(sums), _judged), 0)
+
+
+def _judged(s: Column) -> Column:
+    whole = F.greatest(s["energy"], F.lit(1e-12))
+    low_e = [s["low"][f"e{k}"] for k in range(4)]
     bands = [low_e[0], *[F.greatest(low_e[k] - low_e[k - 1], F.lit(0.0)) for k in (1, 2, 3)], F.greatest(whole - low_e[3], F.lit(0.0))]
     share = [b / whole for b in bands]
     high = share[3] + share[4]
-    crossings = signal.zero_crossings(x) / F.size(x)
-    tilt = signal.lag1_correlation(x)
     music = 0.5 + 1.6 * high + 2.0 * share[4] - 0.5 * share[0]
-    music = music - F.when((tilt > 0.9) & (crossings < 0.1) & (high < 0.05), 0.2).otherwise(0.0)
-    music = music + F.when((crossings > 0.25) & (high > 0.1), 0.2).otherwise(0.0)
+    music = music - F.when((s["tilt"] > 0.9) & (s["crossings"] < 0.1) & (high < 0.05), 0.2).otherwise(0.0)
+    music = music + F.when((s["crossings"] > 0.25) & (high > 0.1), 0.2).otherwise(0.0)
     band = F.when(share[4] > BAND_SHARE, "full").when(share[3] > BAND_SHARE, "superwide").when(share[2] > BAND_SHARE, "wide").when(share[1] > BAND_SHARE, "medium").otherwise("narrow")
-    empty = F.size(x) == 0
+    empty = s["n"] == 0
     return F.struct(
-        F.when(empty, 0.0).otherwise(signal.energy(x)).alias("energy"),
+        F.when(empty, 0.0).otherwise(s["energy"]).alias("energy"),
         F.when(empty, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), music))).alias("music"),
         F.when(empty, "full").otherwise(band).alias("bandwidth"),
     )

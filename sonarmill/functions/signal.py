@@ -8,7 +8,10 @@ array gives null unless a function says otherwise.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,10 +126,27 @@ def ltp_synthesis(x: Column, lag: int, tap: float) -> Column:
 
 
 def one_pole(x: Column, coef: float) -> Column:
-    """y += coef * (x - y), from 0, as an array."""
-    step = lambda done, v: F.concat(done, F.array(F.coalesce(F.element_at(done, -1), F.lit(0.0)) + coef * (v - F.coalesce(F.element_at(done, -1), F.lit(0.0)))))
-    with_start = F.aggregate(_d(x), F.array(F.lit(0.0)), step)
-    return F.slice(with_start, 2, F.greatest(F.size(x), F.lit(0)))
+    """y += coef * (x - y), from 0, as an array. Runs over Arrow batches: SQL's folds would copy the array at every sample."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series([None if v is None else _low_passed(np.asarray(v, float), coef).tolist() for v in series], dtype=object)
+
+    return run.asNondeterministic()(_d(x))
+
+
+def _low_passed(x: np.ndarray, coef: float, piece: int = 128) -> np.ndarray:
+    """The recursion as a product with a triangle of powers, piece by piece."""
+    out, last, keep = np.empty(len(x)), 0.0, 1.0 - coef
+    k = np.arange(min(piece, max(len(x), 1)))
+    triangle = np.tril(coef * keep ** np.maximum(k[:, None] - k, 0))
+    for a in range(0, len(x), piece):
+        part = x[a : a + piece]
+        n = len(part)
+        out[a : a + n] = triangle[:n, :n] @ part + last * keep ** (k[:n] + 1)
+        last = out[a + n - 1]
+    return out
 
 
 def high_pass(x: Column, coef: float) -> Column:
