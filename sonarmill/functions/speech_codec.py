@@ -498,15 +498,23 @@ def _flags(wire: Wire, n: int, active: list[bool] | None, copy: bool = False) ->
     return voice, copies
 
 
-def code_predictors(wire: Wire, want: tuple[int, int] = (7, 7)) -> tuple[float, float]:
-    """Two stereo predictors as steps of a coarse table and fifths between them; ``want`` names the coarse steps."""
-    joint = wire.table(5 * (want[0] // 3) + want[1] // 3, st.STEREO_JOINT, 8)
+def predictor_value(coarse: int, fifth: int) -> int:
+    """A stereo predictor in 1/8192: a fifth of the way between two coarse steps."""
+    low = st.STEREO_LEVELS[coarse]
+    return low + ((st.STEREO_LEVELS[coarse + 1] - low) * 6554 >> 16) * (2 * fifth + 1)
+
+
+NO_PREDICTION = (7, 2)
+
+
+def code_predictors(wire: Wire, want: tuple[int, int] = NO_PREDICTION) -> tuple[float, float]:
+    """Predictors of the side from the smoothed mid and from the mid; what is written has no say of the smoothed one."""
+    coarse, fifth = want
+    joint = wire.table(6 * (coarse // 3), st.STEREO_JOINT, 8)
     out = []
-    for k, third in enumerate((joint // 5, joint % 5)):
-        at = wire.table(want[k] % 3, st.UNIFORM[3], 8) + 3 * third
-        fifth = wire.table(2, st.UNIFORM[5], 8)
-        low = st.STEREO_LEVELS[at]
-        out.append(low + ((st.STEREO_LEVELS[at + 1] - low) * 6554 >> 16) * (2 * fifth + 1))
+    for third in (joint // 5, joint % 5):
+        at = wire.table(coarse % 3, st.UNIFORM[3], 8) + 3 * third
+        out.append(predictor_value(at, wire.table(fifth, st.UNIFORM[5], 8)))
     return (out[0] - out[1]) / 8192, out[1] / 8192
 
 
@@ -610,6 +618,7 @@ class SpeechEncoder:
     tables: st.SpeechTables = field(default_factory=st.SpeechTables)
     copies: bool = False  # of the frame before, for recovery (one channel, one frame a packet)
     last: tuple[Side, np.ndarray, int] | None = None
+    predictor: float = 0.0
 
     #: Samples at 48 kHz by which the decoded signal lags.
     @property
@@ -627,6 +636,7 @@ class SpeechEncoder:
         ms = pcm.shape[1] // 48
         n, parts = max(1, ms // 20), 2 if ms == 10 else 4
         size = parts * 5 * self.khz
+        chosen = [self._predicted(tracks, slice(k * size, (k + 1) * size)) for k in range(n)] if self.channels == 2 else []
         plans = [[self.layers[c].plan(x[k * size : (k + 1) * size], parts) for k in range(n)] for c, x in enumerate(tracks)]
         copy = self.last if self.copies and self.channels == n == 1 and self.last and wire.tell() + self.last[2] < bits // 2 else None
         for c in range(self.channels):
@@ -637,7 +647,7 @@ class SpeechEncoder:
         first = wire.tell()
         for k in range(n):
             if self.channels == 2:
-                code_predictors(wire)
+                code_predictors(wire, chosen[k])
                 if plans[1][k].kind == INACTIVE:
                     wire.table(0, st.MID_ONLY, 8)
             for c, x in enumerate(tracks):
@@ -650,6 +660,18 @@ class SpeechEncoder:
                 self.last = (side, pulses, wire.tell() - used) if side.kind != INACTIVE else None
 
 
+    def _predicted(self, tracks: list[np.ndarray], part: slice) -> tuple[int, int]:
+        """Takes what the mid tells of the side out of it, and says by which predictor; it fades in from the one before."""
+        mid, side = tracks[0][part], tracks[1][part]
+        want = 8192 * float(mid @ side) / (1 + float(mid @ mid))
+        choice = min(((c, f) for c in range(15) for f in range(5)), key=lambda v: abs(predictor_value(*v) - want))
+        new = predictor_value(*choice) / 8192
+        step = np.minimum(np.arange(2, len(mid) + 2) / (8 * self.khz), 1.0)
+        tracks[1][part] = side - (self.predictor + (new - self.predictor) * step) * mid
+        self.predictor = new
+        return choice
+
+
 def speech_packet(encoder: SpeechEncoder, pcm: np.ndarray, size: int) -> tuple[bytes, int]:
     """A speech frame in at most ``size`` bytes, as short as it comes out, and its final range."""
     wire = Writer(Encoder(size), size)

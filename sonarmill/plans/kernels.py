@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarmill.functions import allocation, fixed, messages, signal
 from sonarmill.functions.entropy import pulse_vectors
+from sonarmill.operators import codec
 from sonarmill.plans.registry import query
 from sonarmill.sources import container
 
@@ -237,3 +238,13 @@ def sigmoid_and_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.when(kind == 0, "empty").when(kind == 1, "truncated").when(kind == 2, "unheard of")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select("event_id", fixed.sigmoid(F.col("event_id") % 500 - 250).alias("sigmoid"), messages.message(error).alias("message"))
+
+
+@query()
+def packet_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's frames, 120 samples each, through packets and back: sizes, samples, and whether both sides end in the same state."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
+    pcm = F.slice(F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 2)), 1, 120)
+    packets = codec.encode(rows.select("label", F.col("vec_id").cast("long").alias("seq"), pcm.alias("pcm")), ["label"], 1, 96.0, "wide")
+    back = codec.decode(packets.select("label", "seq", "data"), ["label"], 1).select("label", "seq", F.col("final_range").alias("got"), F.col("samples").alias("n"))
+    return packets.join(back, ["label", "seq"]).select("label", "seq", F.length("data").alias("size"), "n", (F.col("final_range") == F.col("got")).alias("in_step"))
