@@ -27,12 +27,20 @@ class Fold:
         return []
 
 
-def _clean(row: dict) -> dict:
-    return {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in row.items()}
+def _rows(frame: pd.DataFrame) -> Iterator[dict]:
+    """Rows with None for what is missing; the check is made column by column, not row by row."""
+    columns = []
+    for name in frame.columns:
+        column = frame[name]
+        missing = column.isna().to_numpy()
+        values = column.astype(object).tolist()
+        columns.append([None if m else v for v, m in zip(values, missing, strict=True)] if missing.any() else values)
+    names = list(frame.columns)
+    return (dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True))
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
 def fold_batch(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
@@ -42,11 +50,14 @@ def fold_batch(df: DataFrame, keys: list[str], order: list[str], make: Callable[
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         fold, out = make(), []
         key = {k: frame[k].iloc[0] for k in keys}
-        rows = frame.sort_values(order, kind="stable").astype(object).to_dict("records")
-        for row in rows:
-            out += [key | r for r in fold.step(_clean(row))]
-        out += [key | r for r in fold.end()]
-        return _frame(out, names)
+        for row in _rows(frame.sort_values(order, kind="stable")):
+            out += fold.step(row)
+        out += fold.end()
+        made = _frame(out, [n for n in names if n not in key])
+        for k, v in key.items():
+            if k in names:
+                made[k] = v
+        return made[names]
 
     return df.groupBy(*keys).applyInPandas(run, schema)
 
@@ -71,14 +82,14 @@ class _Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fold, last = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else (self.make(), None)
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable").astype(object)
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         out, named = [], dict(zip(self.keys, key, strict=True))
-        for row in frame.to_dict("records"):
+        for row in _rows(frame):
             place = tuple(row[o] for o in self.order)
             if last is not None and place <= last:
                 continue
             last = place
-            out += [named | r for r in fold.step(_clean(row))]
+            out += [named | r for r in fold.step(row)]
         self.state.update((pickle.dumps((fold, last)),))
         yield _frame(out, self.names)
 
