@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ class Automaton:
     """Matches whole tokens against terms with edits, and against beginnings exactly."""
 
     MAX_STATES = 100_000
+    DEAD = 1  # the state that nothing leads out of
 
     def __init__(self, words: Iterable[str], prefixes: Iterable[str]):
         self.children: list[dict[str, int]] = [{}]
@@ -83,12 +85,12 @@ class Automaton:
         return at
 
     def _reset(self) -> None:
-        start = self._closed({(0, ""): 0})
-        self.ids = {start: 0}
-        self.states = [start]
-        self.moves: list[dict[str, int]] = [{}]
-        self.final: list[tuple[str, int] | None] = [self._final(start)]
-        self.sure: list[tuple[str, int] | None] = [None]
+        start, dead = self._closed({(0, ""): 0}), frozenset()
+        self.ids = {start: 0, dead: self.DEAD}
+        self.states = [start, dead]
+        self.moves: list[dict[str, int]] = [{}, {}]
+        self.final: list[tuple[str, int] | None] = [self._final(start), None]
+        self.sure: list[tuple[str, int] | None] = [None, None]
 
     def _closed(self, found: dict[tuple[int, str], int]) -> frozenset:
         """Adds what a dropped letter of a term reaches; keeps the fewest edits of each place."""
@@ -150,15 +152,13 @@ class Automaton:
         """(term, edits) of the nearest term, or of a beginning (with ``*``)."""
         if len(self.states) > self.MAX_STATES:
             self._reset()
-        state, begun = 0, None
+        moves, sure, state, begun = self.moves, self.sure, 0, None
         for c in token:
-            nxt = self.moves[state].get(c)
-            if nxt is None:
-                nxt = self._move(state, c)
-            state = nxt
-            begun = begun or self.sure[state]
-            if not self.states[state]:
+            nxt = moves[state].get(c)
+            state = self._move(state, c) if nxt is None else nxt
+            if state == self.DEAD:
                 return begun
+            begun = begun or sure[state]
         found = self.final[state]
         return found if found and (found[1] == 0 or not begun) else begun
 
@@ -172,13 +172,14 @@ class Model:
 
 
 class Scanner:
-    """Finds hits in texts; keeps what it knows of tokens, up to a bound."""
+    """Finds hits in texts; keeps what it knows of tokens, up to a bound: clean ones in two generations, so that frequent ones stay."""
 
     KNOWN = 300_000
 
     def __init__(self, model: Model):
         self.automaton = Automaton(model.words, model.prefixes)
         self.clean: set[str] = set()
+        self.stale: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
 
     def _new(self, tokens: set[str]) -> None:
@@ -192,11 +193,16 @@ class Scanner:
     def scan(self, text: str) -> tuple[int, Counter]:
         """Number of tokens; (term, edits, quoted) with how often each occurs."""
         if len(self.clean) > self.KNOWN:  # before anything is taken from the caches for this text
-            self.clean.clear()
+            self.clean, self.stale = set(), self.clean
+        if len(self.hits) > self.KNOWN:
             self.hits.clear()
         lower = text.lower()
         tokens = TOKEN.findall(lower)
         distinct = set(tokens) - self.clean
+        if self.stale and distinct:
+            again = distinct & self.stale
+            self.clean |= again
+            distinct -= again
         if not distinct:
             return len(tokens), Counter()
         self._new(distinct - self.hits.keys())
@@ -218,6 +224,18 @@ class Scanner:
         return opened or any(seen[j][0] in REPORTING for j in range(max(0, k - 3), k))
 
 
+_KEPT: dict[int, Scanner] = {}
+
+
+def _scanner(model: Model) -> Scanner:
+    """The process's scanner for a lexicon: what one task has determinised, the next one uses."""
+    key = xxhash.xxh3_64_intdigest("\n".join([*model.words, "", *model.prefixes]).encode())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Scanner(model)
+    return _KEPT[key]
+
+
 def features(n_tokens: int, found: Counter, weights: dict[tuple[str, int], float]) -> list[float]:
     own = [(weights.get((t, e), 0.0), e, c) for (t, e, quoted), c in found.items() if not quoted]
     quoted = sum(weights.get((t, e), 0.0) for (t, e, q) in found if q)
@@ -308,7 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 def _training_hits(model: Model):
     def run(frames):
-        scanner = Scanner(model)
+        scanner = _scanner(model)
         for frame in frames:
             rows = [scanner.scan(t or "") for t in frame["text"]]
             yield pd.DataFrame({"y": frame["y"], "n_tokens": [n for n, _ in rows], "hits": [";".join(f"{t},{e},{int(q)},{c}" for (t, e, q), c in sorted(h.items())) for _, h in rows]})
@@ -326,7 +344,7 @@ def _unpack(packed: str) -> Counter:
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model)
+        scanner = _scanner(model)
         for batch in batches:
             scores, hits = [], []
             for text in batch.column(1).to_pylist():
