@@ -131,14 +131,14 @@ def one_pole(x: Column, coef: float) -> Column:
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
-            yield pd.Series([None if v is None else _low_passed(np.asarray(v, float), coef).tolist() for v in series], dtype=object)
+            yield pd.Series([None if v is None else low_passed(np.asarray(v, float), coef).tolist() for v in series], dtype=object)
 
     return run.asNondeterministic()(_d(x))
 
 
-def _low_passed(x: np.ndarray, coef: float, piece: int = 128) -> np.ndarray:
-    """The recursion as a product with a triangle of powers, piece by piece."""
-    out, last, keep = np.empty(len(x)), 0.0, 1.0 - coef
+def low_passed(x: np.ndarray, coef: float, last: float = 0.0, piece: int = 128) -> np.ndarray:
+    """The recursion from ``last`` on as a product with a triangle of powers, piece by piece."""
+    out, keep = np.empty(len(x)), 1.0 - coef
     k = np.arange(min(piece, max(len(x), 1)))
     triangle = np.tril(coef * keep ** np.maximum(k[:, None] - k, 0))
     for a in range(0, len(x), piece):

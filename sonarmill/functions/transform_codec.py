@@ -557,6 +557,18 @@ def intensity_from(size: int, lm: int) -> int:
     return sum(rate >= e for e in edges)
 
 
+def demand(x: np.ndarray) -> float:
+    """How many bytes a frame (channels, samples) wants, of what an average one gets: few for silence and for
+    narrow bands, more for attacks."""
+    power = np.abs(np.fft.rfft(x * np.hanning(x.shape[1]), axis=1)) ** 2 / x.shape[1]
+    edges = np.minimum(np.array(BAND_EDGES) * x.shape[1] // (2 * BAND_EDGES[-1]), power.shape[1])
+    bands = np.array([power[:, a : max(b, a + 1)].sum(axis=1) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    loud = float((bands > 1e-7).mean())
+    parts = (x[:, : x.shape[1] // 8 * 8].reshape(len(x), 8, -1) ** 2).mean(axis=2) + 1e-9
+    attack = float(np.log2(parts.max(axis=1) / parts.mean(axis=1)).max()) / 3
+    return 0.1 if not loud else 0.45 + 0.6 * loud + 0.5 * min(1.0, attack)
+
+
 def held(value: float, edges: list[float], margins: list[float], before: int) -> int:
     """How many edges the value has passed; it must pass one by its margin to leave the choice before."""
     k = sum(value >= e for e in edges)

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarmill.functions import band_codec, framing
+from sonarmill.functions.analysis import AFFORDABLE
 from sonarmill.functions.entropy import Decoder, Encoder
 from sonarmill.functions.packet import configurations
+from sonarmill.functions.signal import low_passed
 from sonarmill.functions.speech_codec import SpeechDecoder, SpeechEncoder, speech_packet
 from sonarmill.functions.speech_tables import SpeechTables
 from sonarmill.functions.transform import window
-from sonarmill.functions.transform_codec import END_BAND, RATE, FrameCodec
+from sonarmill.functions.transform_codec import END_BAND, RATE, FrameCodec, demand
 from sonarmill.sources import container
 from sonarmill.streaming.fold import Fold, fold_batch, fold_stream
 
@@ -36,6 +38,7 @@ FRAME_MS = {25: 0, 50: 1, 100: 2, 200: 3}
 
 SPEECH_KHZ = {"narrow": 8, "medium": 12, "wide": 16}
 HYBRID_START = 17
+DC_POLE = 3 * 2 * np.pi / RATE
 BEFORE_SUPPRESSION_MS, MOST_SUPPRESSED_MS = 200, 400
 
 
@@ -280,8 +283,10 @@ class PacketEncoder(Fold):
     """Frames (seq, pcm) of one stream, interleaved at 48 kHz, 2.5 to 60 ms each, to packets of one frame.
 
     ``mode`` is transform, speech, hybrid or auto (by rate, frame length and the smoothed share of high
-    frequencies). ``dtx`` sends the header alone while silence lasts; ``copies`` adds
-    a copy of the frame before to speech packets of one channel.
+    frequencies), ``bandwidth`` one of the format's or auto (by rate). ``dtx`` sends the header alone while silence
+    lasts; ``copies`` adds a copy of the frame before to speech packets of one channel; ``vbr`` lets
+    sizes follow the signal round the rate; ``coded_channels`` mixes stereo down or doubles mono;
+    ``reject_dc`` takes out what is below some 3 Hz.
     """
 
     channels: int = 1
@@ -290,20 +295,35 @@ class PacketEncoder(Fold):
     mode: str = "transform"
     dtx: bool = False
     copies: bool = False
+    vbr: bool = False
+    coded_channels: int | None = None
+    reject_dc: bool = False
     tables: Tables = field(default_factory=Tables)
+    drift: float = 0.0
     samples: int = 960
     idle: float = 0.0
     music: float = 0.5
 
     def __post_init__(self) -> None:
+        self.coded = self.coded_channels or self.channels
+        if self.bandwidth == "auto":
+            self.bandwidth = self._affordable()
         bands = {"speech": ("narrow", "medium", "wide"), "hybrid": ("superwide", "full")}.get(self.mode, ("narrow", "wide", "superwide", "full"))
-        if self.channels not in (1, 2) or self.bandwidth not in bands or not 4 <= self.kbps <= 510 or self.mode not in ("transform", "speech", "hybrid", "auto"):
+        if self.channels not in (1, 2) or self.coded not in (1, 2) or self.bandwidth not in bands or not 4 <= self.kbps <= 510 or self.mode not in ("transform", "speech", "hybrid", "auto"):
             raise ValueError("channels are 1 or 2, rates 4 to 510 kb/s, modes and bandwidths those of the format")
-        self.codec = FrameCodec(self.channels, self.tables.model)
+        self.codec = FrameCodec(self.coded, self.tables.model)
         self.speech: SpeechEncoder | None = None
-        self.delay = np.zeros((self.channels, 0))
+        self.delay = np.zeros((self.coded, 0))
+        self.dc = [0.0] * self.coded
         self.now = ""
 
+    def _affordable(self) -> str:
+        """The widest band of the mode that the rate can fill."""
+        wide = next((name for rate, name in AFFORDABLE if self.kbps * 1000 / self.coded < rate), "full")
+        order = {"speech": ("narrow", "medium", "wide"), "hybrid": ("superwide", "full")}.get(self.mode, ("narrow", "wide", "superwide", "full"))
+        rank = ("narrow", "medium", "wide", "superwide", "full").index
+        return max((b for b in order if rank(b) <= rank(wide)), key=rank, default=order[0])
+
     def _mode(self, x: np.ndarray, n: int) -> str:
         """The mode that suits a frame."""
         if self.mode != "auto":
@@ -319,7 +339,7 @@ class PacketEncoder(Fold):
 
     def _speech_encoder(self, khz: int, fresh: bool) -> SpeechEncoder:
         if fresh or self.speech is None or self.speech.khz != khz:
-            self.speech = SpeechEncoder(self.channels, khz, self.tables.speech, self.copies)
+            self.speech = SpeechEncoder(self.coded, khz, self.tables.speech, self.copies)
         return self.speech
 
     def _frame(self, x: np.ndarray, size: int) -> tuple[int, bytes, int]:
@@ -332,7 +352,7 @@ class PacketEncoder(Fold):
             data, final = speech_packet(self._speech_encoder(SPEECH_KHZ[band], fresh), x, size)
             return 4 * ("narrow", "medium", "wide").index(band) + (480, 960, 1920, 2880).index(n), data, final
         if fresh:
-            self.codec = FrameCodec(self.channels, self.tables.model)
+            self.codec = FrameCodec(self.coded, self.tables.model)
         lm = (120, 240, 480, 960).index(n)
         if mode == "transform":
             data = self.codec.encode(x, size, lm, 0, END_BAND[self.bandwidth])
@@ -340,7 +360,7 @@ class PacketEncoder(Fold):
         # Hybrid: the speech layer's lag is made up for, so that both layers meet.
         speech = self._speech_encoder(16, fresh)
         if fresh:
-            self.delay = np.zeros((self.channels, 120 - speech.lag))
+            self.delay = np.zeros((self.coded, 120 - speech.lag))
         late = np.concatenate([self.delay, x], axis=1)
         self.delay = late[:, n:]
         wire = band_codec.Writer(Encoder(size), size)
@@ -360,6 +380,18 @@ class PacketEncoder(Fold):
         self.samples = n
         size = int(min(MAX_PACKET, max(2, self.kbps * 1000 * n / RATE / 8 - 1)))
         x = np.clip(pcm.reshape(n, self.channels).T, -2, 2)
+        if self.coded < self.channels:
+            x = x.mean(axis=0, keepdims=True)
+        elif self.coded > self.channels:
+            x = np.repeat(x, 2, axis=0)
+        if self.reject_dc:
+            low = [low_passed(v, DC_POLE, last) for v, last in zip(x, self.dc, strict=True)]
+            x, self.dc = x - np.array(low), [float(v[-1]) for v in low]
+        if self.vbr:
+            # What was spent too much or too little is made up for within some fifty frames.
+            wish = size * demand(x) - self.drift / 50
+            self.drift += max(3.0, min(wish, 2 * size, MAX_PACKET)) - size
+            size = int(max(3, min(wish, 2 * size, MAX_PACKET)))
         try:
             config, data, final = self._frame(x, size)
         except ValueError:
@@ -370,7 +402,7 @@ class PacketEncoder(Fold):
                 self.idle = float(BEFORE_SUPPRESSION_MS)
             else:
                 data = b""
-        return [{"seq": row["seq"], "data": bytes([config << 3 | (self.channels - 1) << 2]) + data, "final_range": final, "samples": n}]
+        return [{"seq": row["seq"], "data": bytes([config << 3 | (self.coded - 1) << 2]) + data, "final_range": final, "samples": n}]
 
 
 class _Make:
@@ -402,9 +434,9 @@ def decode_multistream(df: DataFrame, keys: list[str], streams: int, coupled: in
     return _folded(df, ["seq", "data"], keys, ["seq"], _Make(MultistreamDecoder, {"streams": streams, "coupled": coupled, "mapping": tuple(mapping), "tables": tables or Tables()}), DECODED)
 
 
-def encode(df: DataFrame, keys: list[str], channels: int = 1, kbps: float = 64.0, bandwidth: str = "full", mode: str = "transform", dtx: bool = False, copies: bool = False, tables: Tables | None = None) -> DataFrame:
-    """(keys, seq, data, final_range, samples, error) from frames (keys, seq, pcm)."""
-    options = {"channels": channels, "kbps": kbps, "bandwidth": bandwidth, "mode": mode, "dtx": dtx, "copies": copies, "tables": tables or Tables()}
+def encode(df: DataFrame, keys: list[str], channels: int = 1, kbps: float = 64.0, bandwidth: str = "full", mode: str = "transform", tables: Tables | None = None, **options) -> DataFrame:
+    """(keys, seq, data, final_range, samples, error) from frames (keys, seq, pcm); further options are those of ``PacketEncoder``."""
+    options |= {"channels": channels, "kbps": kbps, "bandwidth": bandwidth, "mode": mode, "tables": tables or Tables()}
     return _folded(df, ["seq", "pcm"], keys, ["seq"], _Make(PacketEncoder, options), ENCODED)
 
 

@@ -368,3 +368,45 @@ def test_lower_rates_hold_no_mirror_tones(spark):
     power = np.abs(np.fft.rfft(y * np.hanning(len(y)))) ** 2
     hz = np.fft.rfftfreq(len(y), 1 / 16_000)
     assert power[(hz > 5500) & (hz < 6500)].sum() < 1e-3 * power[(hz > 900) & (hz < 1100)].sum()
+
+
+def test_variable_sizes_follow_the_signal_and_keep_the_rate(spark):
+    quiet, loud = np.zeros(960 * 10), music(1, 960 * 40)[0]
+    packets = codec.encode(spoken(spark, np.concatenate([loud, quiet, loud]), 960), ["stream"], 1, 64.0, vbr=True).orderBy("seq").collect()
+    sizes = np.array([len(r["data"]) for r in packets])
+    assert sizes[42:50].max() < 60 and sizes[20] > 100 and len(set(sizes.tolist())) > 5
+    assert abs(sizes.mean() / 160 - 1) < 0.25 and all(r["error"] is None for r in packets)
+
+
+@pytest.mark.parametrize(("channels", "coded"), [(2, 1), (1, 2)])
+def test_channels_are_mixed_down_or_doubled(spark, channels, coded):
+    x, rows = frames(spark, channels, streams=1)
+    packets = codec.encode(rows, ["stream"], channels, 128.0, coded_channels=coded)
+    assert {r["data"][0] >> 2 & 1 for r in packets.collect()} == {coded - 1}
+    got = sorted(codec.decode(packets.select("stream", "seq", "data"), ["stream"], 2).collect(), key=lambda r: r["seq"])
+    y = np.concatenate([np.array(r["pcm"]).reshape(-1, 2).T for r in got], axis=1)
+    want = x.mean(axis=0)
+    assert snr(want[960:-120], y.mean(axis=0)[1080:]) > 15
+
+
+def test_a_constant_is_taken_out(spark):
+    x = 0.2 * np.sin(2 * np.pi * 440 * np.arange(48_000) / 48_000) + 0.3
+    y = decoded(codec.decode(codec.encode(spoken(spark, x, 960), ["stream"], 1, 96.0, reject_dc=True).select("stream", "seq", "data"), ["stream"], 1).collect())
+    assert abs(y[-9600:].mean()) < 0.02
+
+
+@pytest.mark.parametrize(("mode", "kbps", "band"), [("transform", 10.0, "narrow"), ("transform", 30.0, "superwide"), ("speech", 13.0, "medium"), ("speech", 64.0, "wide"), ("hybrid", 30.0, "superwide"), ("auto", 96.0, "full")])
+def test_bandwidth_by_rate(mode, kbps, band):
+    assert codec.PacketEncoder(1, kbps, "auto", mode).bandwidth == band
+
+
+@pytest.mark.parametrize("rate", [8000, 12_000, 16_000, 24_000, 48_000])
+def test_every_output_rate(spark, speech, rate):
+    """A signal below 3 kHz comes back at every rate."""
+    t = np.arange(19_200) / 48_000
+    x = 0.3 * np.sin(2 * np.pi * 500 * t) + 0.2 * np.sin(2 * np.pi * 2200 * t)
+    packets = codec.encode(spoken(spark, x, 960), ["stream"], 1, 96.0).select("stream", "seq", "data")
+    y = decoded(codec.decode(packets, ["stream"], 1, rate).collect())
+    every = 48_000 // rate
+    lag = 120 // every
+    assert len(y) == len(x) // every and snr(x[1920:-120:every], y[1920 // every + lag :][: len(x[1920:-120:every])]) > 25
