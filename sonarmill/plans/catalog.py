@@ -425,13 +425,32 @@ def bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "packets", "bytes", F.round(F.col("bytes") * 8 / (F.col("s") / 48000.0) / 1000, 4).alias("kbps"))
 
 
-@query()
+_LEVINSON = ", ".join(
+    f"""l{m + 1} as (select vec_id, x, r, list_concat(list_transform(range(1, {m + 1}), lambda i: a[i] - k * a[{m + 1} - i]), [k]) as a, e * (1 - k * k) as e
+  from (select *, (r[{m + 2}] - coalesce(list_sum(list_transform(range(1, {m + 1}), lambda i: a[i] * r[{m + 2} - i])), 0.0)) / e as k from l{m}))"""
+    for m in range(8)
+)
+
+
+@query(
+    f"""with {FRAMES}, g as (select vec_id, x, list_transform(range(0, 9), lambda l: list_sum(list_transform(range(1, 65 - l), lambda i: x[i] * x[i + l]))) as r from f),
+l0 as (select vec_id, x, r, []::double[] as a, r[1] as e from g), {_LEVINSON},
+s as (select vec_id, x, r, a, list_transform(range(1, 65), lambda n: x[n] - list_sum(list_transform(range(1, 9), lambda k: case when n > k then a[k] * x[n - k] else 0.0 end))) as d from l8)
+select vec_id, len(a)::int as "order", round(a[1], 6) as first, round(a[8], 6) as last, round(list_sum(list_transform(d, lambda v: v * v)) / r[1], 6) as left_over, true as restored from s"""
+)
 def linear_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-8 predictors of each frame, residual energy, and the round trip through synthesis."""
+    """Order-8 predictors of each frame, residual energy, and whether synthesis restores the frame."""
     rows = _frames(spark, sf_dir).select("vec_id", "x", lpc.predictor(F.col("x"), 8).alias("a"))
     rows = rows.select("vec_id", "x", "a", lpc.residual(F.col("x"), F.col("a")).alias("e"))
     rows = rows.withColumn("back", lpc.synthesis(F.col("e"), F.col("a")))
-    return rows.select("vec_id", F.size("a").alias("order"), F.round(signal.dot(F.col("e"), F.col("e")) / signal.dot(F.col("x"), F.col("x")), 6).alias("left_over"), F.round(signal.snr_db(F.col("x"), F.col("back")), 0).alias("round_trip_db"))
+    return rows.select(
+        "vec_id",
+        F.size("a").alias("order"),
+        F.round(F.element_at("a", 1), 6).alias("first"),
+        F.round(F.element_at("a", 8), 6).alias("last"),
+        F.round(signal.dot(F.col("e"), F.col("e")) / signal.dot(F.col("x"), F.col("x")), 6).alias("left_over"),
+        (signal.snr_db(F.col("x"), F.col("back")) > 200).alias("restored"),
+    )
 
 
 @query(
