@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonarmill.functions.packet import packet_samples
-from sonarmill.streaming.fold import Fold, fold_batch
+from sonarmill.streaming.fold import Fold, by_stream, fold_batch
 
 #: Fixed values of the container format (RFC 3533, RFC 7845).
 CAPTURE = b"OggS"
@@ -344,15 +344,26 @@ def container(packets: list[bytes], durations: list[int], head_packet: bytes, ta
 def write_containers(packets: DataFrame, key: str, order: str, head_packet: bytes, tags_packet: bytes) -> DataFrame:
     """(key, content): one container a stream from packets (key, order, data, samples)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        serial = zlib.crc32(str(frame[key].iloc[0]).encode())
-        content = container([bytes(d) for d in frame["data"]], [int(n) for n in frame["samples"]], head_packet, tags_packet, serial)
-        return pd.DataFrame({key: [frame[key].iloc[0]], "content": [content]})
+    def made(name, packets: list[bytes], samples: list[int]) -> pd.DataFrame:
+        serial = zlib.crc32(str(name).encode())
+        return pd.DataFrame({key: [name], "content": [container(packets, samples, head_packet, tags_packet, serial)]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, packets, samples = None, [], []
+        for frame in frames:
+            for name, data, n in zip(frame[key].tolist(), frame["data"].tolist(), frame["samples"].tolist(), strict=True):
+                if packets and name != now:
+                    yield made(now, packets, samples)
+                    packets, samples = [], []
+                now = name
+                packets.append(bytes(data))
+                samples.append(int(n))
+        if packets:
+            yield made(now, packets, samples)
 
     kind = packets.schema[key].dataType.simpleString()
     rows = packets.select(key, order, "data", F.coalesce(packet_samples(F.col("data")), F.lit(0)).alias("samples"))
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, content binary")
+    return by_stream(rows, [key], [order]).mapInPandas(run, f"{key} {kind}, content binary")
 
 
 def bit_records(data: bytes) -> Iterator[tuple[int, int, bytes]]:

@@ -43,23 +43,42 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
+def by_stream(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Every stream whole in one partition and in order, streams one after the other."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
+
+
+OUT_ROWS, OUT_VALUES = 2000, 2_000_000
+
+
 def fold_batch(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
-    """Folds every stream in order. ``schema`` names the output columns; keys among them are filled in."""
+    """Folds every stream in order. ``schema`` names the output columns; keys among them are filled in.
+
+    Rows come and go in batches, so a task holds a stream's state and a batch, never a whole stream.
+    """
     names = [c.split()[0] for c in _columns(schema)]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fold, out = make(), []
-        key = {k: frame[k].iloc[0] for k in keys}
-        for row in _rows(frame.sort_values(order, kind="stable")):
-            out += fold.step(row)
-        out += fold.end()
-        made = _frame(out, [n for n in names if n not in key])
-        for k, v in key.items():
-            if k in names:
-                made[k] = v
-        return made[names]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, now, key, out, weight = None, None, {}, [], 0
+        for frame in frames:
+            for row in _rows(frame):
+                place = tuple(row[k] for k in keys)
+                if fold is None or place != now:
+                    if fold is not None:
+                        out += [key | r for r in fold.end()]
+                    fold, now, key = make(), place, {k: row[k] for k in keys}
+                for r in fold.step(row):
+                    out.append(key | r)
+                    weight += sum(len(v) for v in r.values() if isinstance(v, list | bytes))
+                if len(out) >= OUT_ROWS or weight > OUT_VALUES:
+                    yield _frame(out, names)
+                    out, weight = [], 0
+        if fold is not None:
+            out += [key | r for r in fold.end()]
+        if out:
+            yield _frame(out, names)
+
+    return by_stream(df, keys, order).mapInPandas(run, schema)
 
 
 def _columns(schema: str) -> list[str]:
