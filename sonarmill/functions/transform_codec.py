@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import lru_cache
-from math import log2, sqrt
+from math import sqrt
 
 import numpy as np
 
@@ -327,13 +327,14 @@ class FrameCodec:
             fade = 1.0 if not self.lost else 0.8
             if not self.lost:
                 self.found = best_period(self.past.mean(axis=0))
-            out = np.empty((self.channels, n))
+            out, rise = np.empty((self.channels, n)), window(OVERLAP)
             for c in range(self.channels):
                 last = self.past[c, -self.found :] * fade
                 run = np.resize(last, n + OVERLAP)
                 y = run[:n].copy()
-                y[:OVERLAP] = y[:OVERLAP] * window(OVERLAP) ** 2 + self.tail[c] * 1.0 * (1 - window(OVERLAP) ** 2) / np.maximum(window(OVERLAP)[::-1], 0.3)
-                self.tail[c] = run[n:] * window(OVERLAP)[::-1]
+                # The tail is faded once already; faded again it makes room for the run's square.
+                y[:OVERLAP] = y[:OVERLAP] * rise**2 + self.tail[c] * rise[::-1]
+                self.tail[c] = run[n:] * rise[::-1]
                 self.past[c] = np.concatenate([self.past[c], y])[-HISTORY:]
                 out[c] = self._de_emphasised(y, c) / FULL_SCALE
         self.lost += 1
@@ -577,7 +578,3 @@ def held(value: float, edges: list[float], margins: list[float], before: int) ->
     if k < before and value > edges[before - 1] - margins[before - 1]:
         return before
     return k
-
-
-def loudness(amplitude: float) -> float:
-    return log2(max(amplitude, 1e-14))
