@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FRAME, HOP, FLOOR = 480, 120, 0.1
-#: Edges of the 21 bands in bins, masking slopes, and the scale of the score.
+FRAME, HOP = 480, 120
+#: Power of the noise floor, edges of the 21 bands in bins, masking slopes, and the scale of the score.
+FLOOR = 100_000.0
 EDGES = (0, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 68, 80, 96, 120, 156, 200)
 UPWARD, DOWNWARD, LATER, ACROSS, SPREAD = 0.1, 0.03, 0.5, 0.01, 0.1
 SCALE = 1.13
@@ -30,7 +31,7 @@ def power(x: np.ndarray) -> np.ndarray:
     at = np.arange(n)[:, None] * HOP + np.arange(FRAME)[None, :]
     blocks = x[at] * hann[None, :, None]
     spectrum = np.fft.rfft(blocks, axis=1)[:, : EDGES[-1]]
-    return np.moveaxis(np.abs(spectrum) ** 2 + FLOOR * 1e6, 1, 2)
+    return np.moveaxis(np.abs(spectrum) ** 2 + FLOOR, 1, 2)
 
 
 def band_means(p: np.ndarray) -> np.ndarray:

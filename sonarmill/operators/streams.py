@@ -76,15 +76,18 @@ def simulated_loss(seq: Column, every: int = 10, place: int = 7) -> Column:
 def nearest_code(rows: DataFrame, key: str, vector: str, codebook: DataFrame, code: str, code_vector: str) -> DataFrame:
     """Adds each row's nearest code by squared distance (ties: the least code).
 
-    The codebook must have at most ``MAX_CODES`` rows, which is checked: it becomes one
-    array that every row is compared with, so no row is multiplied.
+    The codebook is worked through in blocks of about ``MAX_CODES`` codes: a block becomes one
+    array that every row is compared with, so no row is multiplied. An empty codebook gives nulls.
     """
-    if codebook.limit(MAX_CODES + 1).count() > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} codes")
-    book = codebook.agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("code"), F.col(code_vector).cast("array<double>").alias("v")))).alias("_book"))
+    blocks = max(1, -(-2 * codebook.count() // MAX_CODES) if codebook.limit(MAX_CODES + 1).count() > MAX_CODES else 1)
     distance = lambda v: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    best = F.array_min(F.transform("_book", lambda c: F.struct(distance(c["v"]).alias("d"), c["code"].alias("code"))))
-    return rows.join(F.broadcast(book)).select(key, best["code"].alias(code), best["d"].alias("distance"))
+    out = rows.select(key, vector)
+    for k in range(blocks):
+        part = codebook.where(F.pmod(F.xxhash64(code), F.lit(blocks)) == k)
+        book = part.agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("code"), F.col(code_vector).cast("array<double>").alias("v")))).alias("_book"))
+        found = F.array_min(F.transform("_book", lambda c: F.struct(distance(c["v"]).alias("d"), c["code"].alias("code"))))
+        out = out.join(F.broadcast(book)).withColumn("_best", F.least(found, F.col("_best")) if k else found).drop("_book")
+    return out.select(key, F.col("_best.code").alias(code), F.col("_best.d").alias("distance"))
 
 
 @dataclass

@@ -76,13 +76,14 @@ def test_lost_frames_are_filled_from_the_past():
     assert error < 0.1
 
 
-def test_codebook_ties_and_bound(spark, monkeypatch):
-    import pytest
-
+def test_codebook_ties_and_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "id int, x array<double>")
     book = spark.createDataFrame([(7, [0.5, 0.5]), (3, [0.5, 0.5]), (9, [5.0, 5.0])], "code int, v array<double>")
     got = {r["id"]: r["code"] for r in streams.nearest_code(rows, "id", "x", book, "code", "v").collect()}
     assert got == {1: 3, 2: 3}
-    monkeypatch.setattr(streams, "MAX_CODES", 2)
-    with pytest.raises(ValueError):
-        streams.nearest_code(rows, "id", "x", book, "code", "v")
+    assert {r["id"] for r in streams.nearest_code(rows, "id", "x", book.limit(0), "code", "v").where("code is null").collect()} == {1, 2}
+    many = spark.range(60).selectExpr("cast(id as int) as code", "array(double(id % 13), double(id % 7)) as v")
+    points = spark.range(25).selectExpr("cast(id as int) as id", "array(id / 2, id / 4) as x")
+    whole = sorted(map(tuple, streams.nearest_code(points, "id", "x", many, "code", "v").collect()))
+    monkeypatch.setattr(streams, "MAX_CODES", 16)
+    assert sorted(map(tuple, streams.nearest_code(points, "id", "x", many, "code", "v").collect())) == whole
