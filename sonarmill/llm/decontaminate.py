@@ -261,9 +261,9 @@ def _bitmap(spread: DataFrame) -> np.ndarray:
     """Bits of the shingles; at most BITMAP[1] words whatever the benchmark's size."""
     size = min(max(BITMAP[0], 1 << max(spread.count() // 4, 1).bit_length()), BITMAP[1])
     word = F.shiftrightunsigned("shingle", 64 - (size.bit_length() - 1)).alias("word")
-    bits = spread.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 as int))")).alias("bits")).toPandas()
+    bits = spread.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 as int))")).alias("bits")).toArrow()  # 16 bytes a row
     out = np.zeros(size, np.uint64)
-    out[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
+    out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     return out
 
 
