@@ -75,11 +75,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def projection() -> np.ndarray:
+    """The fixed random directions that n-gram vectors are projected on."""
+    rng = np.random.Generator(np.random.PCG64(29))
+    return (rng.normal(0, 1, (WIDTH, LATENT)) / LATENT**0.5).astype(np.float32)
+
+
 def fit(labels: list[str], counts: np.ndarray, sources: list[str], shares: np.ndarray, steps: int = 200, ridge: float = 1e-3) -> Model:
     """Multinomial logistic regression on projected n-gram vectors; ``shares`` are the sources' shares of all rows."""
-    rng = np.random.Generator(np.random.PCG64(29))
-    project = (rng.normal(0, 1, (WIDTH, LATENT)) / LATENT**0.5).astype(np.float32)
-    x = _latent(counts, project)
+    project = projection()
+    return fit_projected(labels, _latent(counts, project), project, sources, shares, steps, ridge)
+
+
+def fit_projected(labels: list[str], x: np.ndarray, project: np.ndarray, sources: list[str], shares: np.ndarray, steps: int = 200, ridge: float = 1e-3) -> Model:
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / spread
     place = {s: k for k, s in enumerate(sources)}
@@ -99,11 +107,13 @@ def fit(labels: list[str], counts: np.ndarray, sources: list[str], shares: np.nd
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, projected n-gram vector): LATENT numbers a row go to the driver, not WIDTH."""
+    project = projection()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            packed = [np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c, _ in gram_counts(part.column(0))]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(packed, pa.binary())], names=["source", "counts"])
+            x = _latent(np.stack([np.minimum(c, 65535).astype(np.uint16) for _, c, _ in gram_counts(part.column(0))]), project)
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["source", "x"])
 
 
 def _share_table(like: DataFrame, shares: dict[str, int]) -> DataFrame:
@@ -120,13 +130,13 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     each = max(1, max_train // len(sizes))
     shares_of = _share_table(docs, {source: int(1_000_000 * min(1.0, each / n)) + 1 for source, n in sizes.items()})
     chosen = rows.join(shares_of, "source").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < F.col("share"))).limit(2 * max_train + len(sizes))
-    got = chosen.select("text", "source").mapInArrow(_featured, "source string, counts binary").toPandas()
+    got = chosen.select("text", "source").mapInArrow(_featured, "source string, x binary").toPandas()
     sources = sorted(sizes)
     shares = np.array([sizes[s] for s in sources], float) / sum(sizes.values())
     if not len(got):
         return Model(sources, np.zeros((WIDTH, LATENT), np.float32), np.zeros((LATENT, len(sources))), np.log(shares))
-    order = np.lexsort((got["counts"].to_numpy(), got["source"].to_numpy()))
-    return fit([got["source"][i] for i in order], np.stack([np.frombuffer(got["counts"][i], np.uint16) for i in order]), sources, shares)
+    order = np.lexsort((got["x"].to_numpy(), got["source"].to_numpy()))
+    return fit_projected([got["source"][i] for i in order], np.stack([np.frombuffer(got["x"][i], np.float32) for i in order]), projection(), sources, shares)
 
 
 def _memberships(model: Model):
