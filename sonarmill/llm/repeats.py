@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonarmill.llm.dealing import dealt_join
 from sonarmill.llm.induced import Sorter
 from sonarmill.llm.textnum import _BYTE_CODE, _powers, buffers_of, mix64
 from sonarmill.session import cut
@@ -51,7 +52,6 @@ BANDS = 2
 PIECE_SLAB = 1 << 22
 SHARD_BYTES = 2 << 20
 HOT_PIECES = 30_000  # of one core; more are split by longer cores
-HOT = 1000
 
 _POSITION_BITS = 24
 _CHUNK = 1 << 20
@@ -287,18 +287,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows, RESULT_SCHEMA)
 
 
-def _dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``rows`` whose key is in ``keys`` (unique, with n, the key's rows); a key with over a thousandth of all rows is dealt to several tasks.
-
-    Fewer than 1000 keys can be that frequent, so these are broadcast.
-    """
-    parts = F.ceil(F.col("n") * HOT / F.lit(max(total, 1)))
-    hot = keys.where(F.col("n") * HOT > total).select(*on, parts.alias("parts"))
-    left = rows.join(F.broadcast(hot), on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("d", "place"), "parts"), F.lit(0)))
-    right = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.when(F.col("n") * HOT > total, parts).otherwise(1), F.lit(1)) - 1)).alias("part"))
-    return left.join(right, [*on, "part"], "left_semi").drop("part", "parts")
-
-
 def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte runs of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -307,10 +295,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_pieces:
     anchors = cut(base.where(F.octet_length("data") >= WINDOW).select("d", "th", "data").mapInArrow(_anchor_rows, "d long, th long, place long, lo long, hi long, h long, c long"), "anchors")
     around = cut(anchors.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("d", "th", "place", "lo", "hi")]), "around")
     again = around.where("n > 1").select("h", "c", "n")
-    settled = _dealt_join(anchors, again, ["h", "c"], anchors.count()).select("d", "th", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("stop"))
+    settled = dealt_join(anchors, again, ["h", "c"], anchors.count(), ["d", "place"]).select("d", "th", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("stop"))
 
     wanting = around.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", F.col("k").alias("n"))
-    members = _dealt_join(around.withColumnRenamed("n", "times"), wanting, ["h"], around.count()).select("d", "th", F.struct("place", "lo", "hi", (F.col("times") == 1).alias("need")).alias("a"))
+    members = dealt_join(around.withColumnRenamed("n", "times"), wanting, ["h"], around.count(), ["d", "place"]).select("d", "th", F.struct("place", "lo", "hi", (F.col("times") == 1).alias("need")).alias("a"))
     of_text = members.groupBy("d", "th").agg(F.collect_list("a").alias("a"))
     once = base.select("d", "th", "data").join(of_text, ["d", "th"])
     pieces = cut(once.select("d", "th", "data", "a").mapInArrow(_pieces, PIECE_DDL), "pieces")
@@ -322,10 +310,9 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_pieces:
         hot = cores.where(F.col("n") > hot_pieces)
         if hot.isEmpty():
             break
-        halves = cut(_dealt_join(pieces.withColumn("place", F.col("start")), hot, ["key"], pieces.count()).drop("place").mapInArrow(_halves, PIECE_DDL + ", hull long"), "halves")
+        halves = cut(dealt_join(pieces, hot, ["key"], pieces.count(), ["d", "start"]).select(*PIECE_SCHEMA.names).mapInArrow(_halves, PIECE_DDL + ", hull long"), "halves")
         groups = cut(halves.groupBy("key", "hull").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("d", "th", "need", "start", "lead", "o1", "o2", "piece")]), "groups")
-        wanted = halves.where("need").withColumn("place", F.col("start"))
-        again = _dealt_join(wanted, groups.where("n > 1").select("key", "hull", "n"), ["key", "hull"], halves.count())
+        again = dealt_join(halves.where("need"), groups.where("n > 1").select("key", "hull", "n"), ["key", "hull"], halves.count(), ["d", "start"])
         found = found.union(again.select("d", "th", "start", (F.col("start") + F.octet_length("piece")).alias("stop")))
         # A band of one offset has one window, so its count has settled it.
         pieces = groups.where("o2 - o1 > 1").withColumn("need", F.col("need") & (F.col("n") == 1)).select(*PIECE_SCHEMA.names)
