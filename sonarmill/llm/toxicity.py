@@ -173,7 +173,7 @@ class Model:
 class Scanner:
     """Finds hits in texts; keeps what it knows of tokens, up to a bound: clean ones in two generations, so that frequent ones stay."""
 
-    KNOWN = 300_000
+    KNOWN = 100_000
 
     def __init__(self, model: Model):
         self.automaton = Automaton(model.words, model.prefixes)
