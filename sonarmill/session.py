@@ -55,6 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lets Arrow batches hold at most ``rows`` rows from now on: whole texts go through Python, and a
+    batch is held several times over. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used, removed at exit."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

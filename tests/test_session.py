@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from sonarmill.session import cut, free, shared_dir
+from sonarmill.session import bounded_batches, cut, free, shared_dir
 
 
 class _Conf:
@@ -28,3 +28,17 @@ def test_freed_tables_are_gone(spark):
     assert os.path.exists(where)
     free(table)
     assert not os.path.exists(where)
+
+
+def test_batches_are_bounded_but_lower_settings_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "50")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, before)
