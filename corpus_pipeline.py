@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarmill.llm import decontaminate, mixing, near_dup, pii, toxicity
-from sonarmill.session import cut
+from sonarmill.session import bounded_batches, cut
 
 #: Near-duplicates in the pipeline: 5-word shingles, 80 percent.
 NEAR_PERCENT = 80
@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts get the score of a text without hits and stay; rows that repeat a
     doc_id go together if one of them is rejected; without labels nothing goes.
     """
+    bounded_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD))
 
@@ -35,11 +36,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null, empty and wordless texts and rows without an id are in no group and stay; rows that
     repeat a doc_id are one document and stay or go together.
     """
+    bounded_batches(spark)
     return _without(docs, near_dup.near_duplicates(docs, NEAR_PERCENT).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts hold none and stay, as does all if the benchmark is empty."""
+    bounded_batches(spark)
     return _without(docs, decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
@@ -48,6 +51,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Every row stays; null and empty texts stay as they are, of overlapping spans the first, then the longest, counts.
     """
+    bounded_batches(spark)
     redacted = pii.redact(docs.withColumn("__text_before", F.xxhash64("text")), pii.learn(docs))
     changed = ~F.col("__text_before").eqNullSafe(F.xxhash64("text"))
     return redacted.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
@@ -58,6 +62,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts have 0 tokens and a rate; of equally likely domains the first by name is named.
     """
+    bounded_batches(spark)
     return mixing.mix(docs, keep=docs.columns)[0]
 
 
