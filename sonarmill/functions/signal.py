@@ -28,6 +28,15 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(_d(x), _d(y), lambda a, b: a * b))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to ``digits`` places by scaling, halves away from zero, as SQL engines round doubles: what vanishes from below is -0.0."""
+    scaled = x * 10.0**digits
+    near = F.rint(scaled)  # a half goes to the even side
+    off = scaled - near
+    whole = F.when((F.abs(off) == 0.5) & (off * scaled > 0), near + F.signum(scaled)).otherwise(near)
+    return F.when(F.abs(whole) < float("inf"), whole / 10.0**digits).otherwise(x)
+
+
 def energy(x: Column) -> Column:
     """Mean square."""
     return total(F.transform(_d(x), lambda v: v * v)) / F.size(x)

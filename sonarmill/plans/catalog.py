@@ -439,17 +439,18 @@ s as (select vec_id, x, r, a, list_transform(range(1, 65), lambda n: x[n] - list
 select vec_id, len(a)::int as "order", round(a[1], 6) as first, round(a[8], 6) as last, round(list_sum(list_transform(d, lambda v: v * v)) / r[1], 6) as left_over, true as restored from s"""
 )
 def linear_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-8 predictors of each frame, residual energy, and whether synthesis restores the frame."""
-    rows = _frames(spark, sf_dir).select("vec_id", "x", lpc.predictor(F.col("x"), 8).alias("a"))
-    rows = rows.select("vec_id", "x", "a", lpc.residual(F.col("x"), F.col("a")).alias("e"))
-    rows = rows.withColumn("back", lpc.synthesis(F.col("e"), F.col("a")))
+    """Order-8 predictors of each frame of 64 samples, residual energy, and whether synthesis restores the frame.
+
+    Sums go in the order of the SQL's, so frames that magnify a last digit agree too.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", lpc.prediction(F.col("embedding"), 8, 64).alias("p"))
     return rows.select(
         "vec_id",
-        F.size("a").alias("order"),
-        F.round(F.element_at("a", 1), 6).alias("first"),
-        F.round(F.element_at("a", 8), 6).alias("last"),
-        F.round(signal.dot(F.col("e"), F.col("e")) / signal.dot(F.col("x"), F.col("x")), 6).alias("left_over"),
-        (signal.snr_db(F.col("x"), F.col("back")) > 200).alias("restored"),
+        F.size("p.a").alias("order"),
+        signal.rounded(F.element_at("p.a", 1), 6).alias("first"),
+        signal.rounded(F.element_at("p.a", 8), 6).alias("last"),
+        signal.rounded(F.col("p.left_over"), 6).alias("left_over"),
+        F.col("p.restored").alias("restored"),
     )
 
 
