@@ -15,16 +15,25 @@ from sonarmill.session import cut, free
 MAX_ROUNDS = 60
 
 
+def _both(edges: DataFrame, *rows: tuple[str, str]) -> DataFrame:
+    """(u, v) for each named pair of columns of every row, from one reading of ``edges``."""
+    pairs = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in rows])
+    return edges.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges are (u, v) with u > v; every node's chosen neighbours move to its least one."""
+    """Edges are (u, v) with u > v; every node's chosen neighbours move to its least one.
+
+    The joins are merged, never broadcast: a broadcast goes through the driver, at every size.
+    """
     if large:
-        sym = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sym = _both(edges, ("u", "v"), ("v", "u"))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.where("u > v").distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        moved = sym.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        moved = _both(edges.join(least.hint("merge"), "u"), ("v", "m"), ("u", "m"))
+    return moved.where("u > v").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -109,12 +109,16 @@ def may_reach(percent: int) -> str:
     ones, tops = (sum(v << (LANE * k) for k in range(LANES)) for v in ((1 << LANE - 1) - 1, 1 << LANE - 1))
     c = f"({CHANCE!r}D * 4D * x.n * y.n / (double(x.n + y.n) * double(x.n + y.n)))"
 
-    def reached(registers: int) -> str:
+    def differing(p: str, q: str) -> str:
+        return f"bit_count((({p} ^ {q}) + {ones}L) & {tops}L)"
+
+    def reached(registers: int, differ: str) -> str:
         least = j - SURE * (j * (1 - j) / registers) ** 0.5
-        differ = " + ".join(f"bit_count(((x.d[{k}] ^ y.d[{k}]) + {ones}L) & {tops}L)" for k in range(registers // LANES))
         return f"{registers} - ({differ}) >= {registers} * ({c} + {least!r}D * (1D - {c}))"
 
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {reached(GLANCE)} and {reached(DIGEST)}"
+    glance = " + ".join(differing(f"x.d[{k}]", f"y.d[{k}]") for k in range(GLANCE // LANES))
+    digest = f"aggregate(zip_with(x.d, y.d, (p, q) -> {differing('p', 'q')}), 0, (total, one) -> total + one)"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {reached(GLANCE, glance)} and {reached(DIGEST, digest)}"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

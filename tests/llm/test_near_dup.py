@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from sonarmill.llm import near_dup
+from sonarmill.llm import components, near_dup
+from sonarmill.session import cut
 
 
 def shingles(text):
@@ -142,3 +143,33 @@ def test_large_buckets_are_dealt_to_tasks_without_loss(spark, monkeypatch):
     rows = [(2 * k - 20, t) for k, t in enumerate(texts)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 85)
+
+
+def test_condition_in_sql_stays_short():
+    """The driver plans and compiles it again and again: terms for the glance, one for the digest."""
+    assert near_dup.may_reach(80).count("bit_count") == near_dup.GLANCE // near_dup.LANES + 1
+
+
+def test_star_steps_send_nothing_through_the_driver(spark):
+    rng = random.Random(3)
+    links = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(1000, 1040)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(220)] + [(7, None), (5, 5)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        if b is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert {(r["id"], r["component"]) for r in components.components(frame).collect()} == {(i, find(i)) for i in list(root)}
+
+    edges = cut(frame.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "edges")
+    for large in (True, False):
+        step = components._star(edges, large)
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
